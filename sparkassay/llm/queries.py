@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkassay.llm import backoff, packing, repeats, simhash, sketch, tokens, warc
+from sparkassay.llm import backoff, licences, neighbours, packing, quality, repeats, simhash, sketch, tokens, warc
 from sparkassay.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(licences.as_files(read(spark, sf_dir, "documents")), "doc_id")
+
+
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edited(read(spark, sf_dir, "documents"))
 
@@ -21,6 +26,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -33,6 +43,10 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(read(spark, sf_dir, "documents"))
 
 
+def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove(read(spark, sf_dir, "documents")))
 
@@ -44,17 +58,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_scaled_sketch,
         op3_simhash_near_dedup,
+        op4_factorisation_machine,
         op5_min_slack_packing,
         op6_warc_revisits,
         op7_stupid_backoff,
+        op8_adaptive_scan,
         op9_repeated_phrases,
         op10_bpe_round_trip,
     )
 }
 
 SQL: dict[str, str] = {
+    "op1_license_scan": licences.sql(),
     "op6_warc_revisits": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         o AS (SELECT payload_digest, payload_bytes, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
