@@ -23,6 +23,8 @@ from sparkassay.llm.words import bounds, word_hashes
 #: Labelled rows that are fitted on, at most: those with the least hashes of their ids.
 SAMPLE = 12_000
 BITS, RANK, EPOCHS, RATE, DECAY = 15, 6, 8, 0.05, 2e-5
+#: Steps that a fit takes at least, however few rows there are.
+STEPS = 1500
 THRESHOLD = 0.3
 BINS = 16
 _WORDS = 1 << BITS
@@ -100,7 +102,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
     g_bias, g_weights, g_vectors = 1e-6, np.full(FEATURES, 1e-6), np.full((FEATURES, RANK), 1e-6)
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * 64 // len(rows)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             picked = order[at : at + 64]
