@@ -48,7 +48,7 @@ def has_doctest(c: Column | str) -> Column:
 
 def clean_list(c: Column | str) -> Column:
     """Trimmed non-blank strings of a list; null gives an empty one."""
-    return F.filter(F.transform(F.coalesce(_c(c), F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(_c(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tests(c: Column | str) -> Column:
