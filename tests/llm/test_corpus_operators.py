@@ -391,10 +391,23 @@ def test_repeats(spark, docs, odd):
         assert got == brute_repeats(texts(df))
 
 
-def test_slices_carry_an_anchor_over(spark, docs, monkeypatch):
-    monkeypatch.setattr(repeats, "SLICE", 3)
-    rows = list(repeats._shard(50, 26)(iter(())))
-    assert rows == []
+@pytest.mark.parametrize("rows_at_once", [1, 3, 4096])
+def test_slices_carry_an_anchor_over(docs, monkeypatch, rows_at_once):
+    """The shard's work is the same however its sorted segments are sliced."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "SLICE", rows_at_once)
+    known = texts(docs)
+    hs = [np.unique(repeats.anchors(repeats.word_hashes(t.encode()), 50, 26)[0]).view(np.int64).tolist() for _, t in known]
+    batch = pa.record_batch([pa.array([d for d, _ in known]), pa.array([0] * len(known)), pa.array([t for _, t in known]), pa.array(hs, pa.list_(pa.int64()))], names=["id", "tk", "text", "hs"])
+    cut = [batch.slice(at, 40) for at in range(0, len(known), 40)]
+    table = pa.Table.from_batches(list(repeats._segments(50, 26)(iter(cut)))).sort_by([("h", "ascending"), ("lo", "ascending")])
+    lost = defaultdict(set)
+    for out in repeats._shard(50, 26)(iter(table.combine_chunks().to_batches())):
+        for r in out.to_pylist():
+            for a, b in zip(r["a"], r["b"], strict=True):
+                lost[r["id"]] |= set(range(a, b))
+    assert {d: len(lost[d]) for d, _ in known} == {r[0]: r[2] for r in brute_repeats(known)}
 
 
 # --- licences ----------------------------------------------------------------------------------------------------------
