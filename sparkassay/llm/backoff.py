@@ -28,13 +28,29 @@ BLOCK = 16 << 20
 
 def _grams(texts: list[bytes], order: int) -> tuple[list[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
     """Each document's n-gram hashes by order, and each order's distinct ones in the block with their counts."""
-    docs = [[run_hashes(words, n) for n in range(1, order + 1)] for words in map(word_hashes, texts)]
+    docs = [[run_hashes(words, n) >> np.uint64(64 - 8 * BYTES) for n in range(1, order + 1)] for words in map(word_hashes, texts)]
     return docs, [np.unique(np.concatenate([d[n] for d in docs]), return_counts=True) for n in range(order)]
 
 
+#: Bytes of a hash that are sent: 56 bits tell 10**13 n-grams apart but for one in some thousands.
+BYTES = 7
+
+
+def _pack(numbers: np.ndarray, width: int = 8) -> bytes:
+    """Numbers as planes of bytes, most significant first: sorted or small numbers leave planes that the shuffle's codec removes."""
+    return numbers.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T.tobytes()
+
+
+def _unpack(data, width: int = 8) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 8 - width :] = planes.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _ends(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where sorted hashes leave each of ``parts`` equal ranges."""
-    return np.searchsorted(hashes, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64))
+    return np.searchsorted(hashes, np.array([(k << 8 * BYTES) // parts for k in range(1, parts)], np.uint64))
 
 
 def _count(order: int, parts: int):
@@ -44,7 +60,7 @@ def _count(order: int, parts: int):
         rows = []
         for n, (h, c) in enumerate(distinct):
             ends = [0, *_ends(h, parts).tolist(), len(h)]
-            rows += [(k, block, n, h[a:b].tobytes(), c[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            rows += [(k, block, n, _pack(h[a:b], BYTES), _pack(c[a:b])) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
         part, blocks, orders, hs, cs = zip(*rows, strict=True) if rows else ([],) * 5
         return pa.table([pa.array(part, pa.int32()), pa.array(blocks, pa.int32()), pa.array(orders, pa.int32()), pa.array(hs, pa.binary()), pa.array(cs, pa.binary())], names=["part", "block", "n", "hashes", "counts"])
 
@@ -57,13 +73,13 @@ def _join(table: pa.Table) -> pa.Table:
     order = np.array(table["n"].to_pylist())
     for n in np.unique(order):
         rows = np.flatnonzero(order == n)
-        hs = [np.frombuffer(table["hashes"][int(i)].as_buffer(), "<u8") for i in rows]
-        cs = np.concatenate([np.frombuffer(table["counts"][int(i)].as_buffer(), "<u4") for i in rows])
+        hs = [_unpack(table["hashes"][int(i)].as_buffer(), BYTES) for i in rows]
+        cs = np.concatenate([_unpack(table["counts"][int(i)].as_buffer()) for i in rows])
         sizes = [len(h) for h in hs]
         distinct, at = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(at, weights=cs, minlength=len(distinct)).astype("<i8")[at]
+        total = np.bincount(at, weights=cs, minlength=len(distinct)).astype(np.int64)[at]
         for i, t in zip(rows, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
-            out.append((table["part"][int(i)].as_py(), table["block"][int(i)].as_py(), int(n), t.tobytes()))
+            out.append((table["part"][int(i)].as_py(), table["block"][int(i)].as_py(), int(n), _pack(t)))
     part, block, n, totals = zip(*out, strict=True)
     return pa.table([pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array(n, pa.int32()), pa.array(totals, pa.binary())], names=["part", "block", "n", "totals"])
 
@@ -97,7 +113,7 @@ def _score(order: int, alpha: float, key: pa.DataType):
         for n in range(order):
             rows = np.flatnonzero(ns == n)
             rows = rows[np.argsort(parts[rows])]
-            totals.append(np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(counts["totals"][int(i)].as_buffer(), "<i8") for i in rows)]))
+            totals.append(np.concatenate([np.empty(0, np.int64), *(_unpack(counts["totals"][int(i)].as_buffer()).astype(np.int64) for i in rows)]))
         out = [one(d, [h for h, _ in found], totals) for d in docs]
         words, logs, plain = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([texts["doc_id"].cast(key), pa.array(words, pa.int64()), pa.array(logs, pa.float64()), pa.array(plain, pa.int64())], names=["doc_id", "n_words", "logs", "plain"])
