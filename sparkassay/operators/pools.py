@@ -191,3 +191,22 @@ def bottleneck() -> Column:
         .when(c("n_mild2") > 0, "needs_mild_2")
         .otherwise("needs_mild_3")
     )
+
+
+def scope(df: DataFrame, user: str, selected: list[int] | None = None) -> DataFrame:
+    """The rows that an analysis is about: the selected ones if any are, else the user's own."""
+    return df.filter(F.col("id").isin(*selected)) if selected else df.filter(F.col("user") == user)
+
+
+def probes(df: DataFrame, chosen: DataFrame, id: str, k: int) -> DataFrame:
+    """The ``k`` best boundary probes among the usable rows that no pool has taken."""
+    left = non_members(df, chosen, id)
+    return ST.weighted_z(left, PROBE, "boundary_probe_score").orderBy(F.round("boundary_probe_score", 9).desc(), id).limit(k)
+
+
+def combinations(atoms: dict[str, list], most: int, spark) -> DataFrame:
+    """All combinations of a few fixed values for each argument, the first ``most`` in order."""
+    out = spark.range(1).select(F.lit(1).alias("_"))
+    for name, values in atoms.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out.drop("_").orderBy(*atoms).limit(most)

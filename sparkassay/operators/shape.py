@@ -175,3 +175,12 @@ def normalise_humaneval(df: DataFrame) -> DataFrame:
 def assign_split(df: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     """The split's role written over the task's."""
     return df.withColumn("role", F.create_map(*[F.lit(v) for p in roles.items() for v in p])[F.col("split")])
+
+
+def strip_common_root(df: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """Drops the first part of every path of a group that shares it, as archives of one project do."""
+    first = F.element_at(F.split(path, "/"), 1)
+    roots = df.groupBy(*by).agg(F.count_distinct(first).alias("_roots"), F.min(F.size(F.split(path, "/"))).alias("_least"))
+    joined = df.join(roots, by)
+    stripped = F.when((F.col("_roots") == 1) & (F.col("_least") > 1), F.regexp_replace(path, "^[^/]*/", "")).otherwise(F.col(path))
+    return joined.withColumn(path, stripped).drop("_roots", "_least")
