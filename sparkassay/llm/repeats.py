@@ -5,12 +5,12 @@ window has an anchor: the run of ``phrase`` words in it with the least hash, the
 equal anchors, so only windows whose anchor occurs in two documents can recur; that leaves few words to move.
 
 1. Each document's anchor hashes are reduced to (hash, least id, greatest id); those with two ids are candidates.
-2. Each document gives, for each candidate anchor it holds, the segment that the anchor's windows cover. Segments are
-   dealt to shards by anchor.
+2. Each document gives, for each candidate anchor it holds, the segment that the anchor's windows cover. Equal segments of
+   a batch of documents become one row that names them all, before they are dealt to shards by anchor.
 3. A shard confirms on the words which phrases occur in two documents, compiles them into an Aho-Corasick automaton and
-   streams the segments of all documents through it. Segments come sorted by anchor and id, so of the windows around an
-   occurrence the first with the same words is in the least document; later ones are to go. Memory holds one slice of
-   segments and the windows of one anchor.
+   streams the segments of all documents through it. Segments come sorted by anchor and least id, so of the windows around
+   an occurrence the first with the same words is in the least document; in documents with larger ids they are to go.
+   Memory holds one slice of segments and the distinct windows of one anchor.
 4. Documents are joined with their removed ranges.
 
 The texts are shuffled once: both joins are on the id and share an exchange.
@@ -67,53 +67,51 @@ def _anchor_rows(window: int, phrase: int):
 
 
 def _segments(window: int, phrase: int):
-    names = ["h", "id", "tk", "starts", "segment", "at"]
+    """For each batch of documents its distinct segments, each with the documents of the batch that hold it.
+
+    A passage that many documents share so leaves a batch as one row, however hot its anchor is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            held: dict[tuple, dict[tuple, list[int]]] = {}
             for i, tk, x, hs in zip(*(batch.column(c).to_pylist() for c in ("id", "tk", "text", "hs")), strict=True):
-                words = x.encode().split()
-                h, first, last = anchors(word_hashes(x.encode()), window, phrase)
-                seen: dict[tuple, list[int]] = {}
-                runs = run_hashes(word_hashes(x.encode()), phrase)
+                text = x.encode()
+                words, hashes = text.split(), word_hashes(text)
+                h, first, last = anchors(hashes, window, phrase)
+                runs = run_hashes(hashes, phrase)
                 for k in np.flatnonzero(np.isin(h, np.array(hs, np.int64).view(np.uint64))):
                     a, b = int(first[k]), int(last[k]) + window
                     at = int(np.flatnonzero(runs[a : b - phrase + 1] == h[k])[0])
-                    seen.setdefault((int(h[k].astype(np.int64)), b" ".join(words[a:b]), at), []).append(a)
-                out += [(k[0], i, tk, starts, k[1], k[2]) for k, starts in seen.items()]
-                if len(out) >= SLICE:
-                    yield _batch(out, names)
-                    out = []
-            if out:
-                yield _batch(out, names)
+                    held.setdefault((int(h[k].astype(np.int64)), b" ".join(words[a:b]), at), {}).setdefault((i, tk), []).append(a)
+            rows = [(h, min(refs)[0], segment, at, [(i, tk, starts) for (i, tk), starts in refs.items()]) for (h, segment, at), refs in held.items()]
+            for at in range(0, len(rows), SLICE):
+                h, lo, segment, place, refs = zip(*rows[at : at + SLICE], strict=True)
+                sizes = np.cumsum([0, *map(len, refs)])
+                flat = [r for x in refs for r in x]
+                struct = pa.StructArray.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], pa.list_(pa.int32()))], names=["id", "tk", "starts"])
+                yield pa.record_batch([pa.array(h, pa.int64()), pa.array(lo, pa.int64()), pa.array(segment, pa.binary()), pa.array(place, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)], names=["h", "lo", "segment", "at", "refs"])
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    h, i, tk, starts, segment, at = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(tk, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(segment, pa.binary()), pa.array(at, pa.int32())], names=names)
-
-
 def _shard(window: int, phrase: int):
-    """Rows sorted by anchor and id: the ranges of words to remove, by the automaton of the confirmed phrases."""
+    """Rows sorted by anchor and least id: the ranges of words to remove, by the automaton of the confirmed phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, first_in = None, {}  # windows of the anchor at hand, by digest: the least id
 
-        def locate(rows: list[tuple]):
+        def locate(rows: list[dict]):
             nonlocal anchor, first_in
             owners: dict[bytes, int] = {}
             confirmed = ahocorasick.Automaton()
             texts = []
-            for h, i, _, _, segment, at in rows:
-                words = segment.split(b" ")
+            for r in rows:
+                words = r["segment"].split(b" ")
                 texts.append(words)
-                p = b" " + b" ".join(words[at : at + phrase]) + b" "
-                if owners.setdefault(p, i) != i or h == anchor:  # in two documents, or begun in the slice before
-                    owners[p] = -1
-                elif h == rows[-1][0]:  # the next slice may hold it too
+                p = b" " + b" ".join(words[r["at"] : r["at"] + phrase]) + b" "
+                several = owners.setdefault(p, r["lo"]) != r["lo"] or any(x["id"] != r["lo"] for x in r["refs"])
+                if several or r["h"] in (anchor, rows[-1]["h"]):  # in two documents, or perhaps in the slice before or after
                     owners[p] = -1
             for p, i in owners.items():
                 if i == -1:
@@ -121,49 +119,57 @@ def _shard(window: int, phrase: int):
             if not len(confirmed):
                 return
             confirmed.make_automaton()
-            for (h, i, tk, starts, segment, _), words in zip(rows, texts, strict=True):
-                if h != anchor:
-                    anchor, first_in = h, {}
-                found = {end for end, _ in confirmed.iter((b" " + segment + b" ").decode("latin-1"))}
-                if not found:
+            for r, words in zip(rows, texts, strict=True):
+                if r["h"] != anchor:
+                    anchor, first_in = r["h"], {}
+                if next(confirmed.iter((b" " + r["segment"] + b" ").decode("latin-1")), None) is None:
                     continue
                 sizes = np.cumsum([0, *(len(w) + 1 for w in words)])
-                gone = []
-                for k in range(len(words) - window + 1):
-                    key = xxhash.xxh3_128_digest(segment[sizes[k] : sizes[k + window] - 1])
-                    if first_in.setdefault(key, i) < i:
-                        if gone and gone[-1][1] >= k:
-                            gone[-1][1] = k + window
-                        else:
-                            gone.append([k, k + window])
-                for s in starts:
-                    for a, b in gone:
-                        yield i, tk, s + a, s + b
-
-        def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            cut = list(locate(rows))
-            if cut:
-                i, tk, a, b = zip(*cut, strict=True)
-                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(tk, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["id", "tk", "a", "b"])
+                # Of windows with the same words the first row's has the least id.
+                least = [first_in.setdefault(xxhash.xxh3_128_digest(r["segment"][sizes[k] : sizes[k + window] - 1]), r["lo"]) for k in range(len(words) - window + 1)]
+                for x in r["refs"]:
+                    gone = []
+                    for k, i in enumerate(least):
+                        if i < x["id"]:
+                            if gone and gone[-1][1] >= k:
+                                gone[-1][1] = k + window
+                            else:
+                                gone.append([k, k + window])
+                    if gone:
+                        yield x["id"], x["tk"], [s + a for s in x["starts"] for a, _ in gone], [s + b for s in x["starts"] for _, b in gone]
+
+        def batch_of(cut: list[tuple]) -> pa.RecordBatch:
+            i, tk, a, b = zip(*cut, strict=True)
+            return pa.record_batch([pa.array(i, pa.int64()), pa.array(tk, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["id", "tk", "a", "b"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                yield from work(list(zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns), strict=True)))
+                cut = []
+                for row in locate(batch.slice(at, SLICE).to_pylist()):
+                    cut.append(row)
+                    if len(cut) >= SLICE:
+                        yield batch_of(cut)
+                        cut = []
+                if cut:
+                    yield batch_of(cut)
 
     return run
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """``id, cuts``: for each document that has any, the word ranges that are to go, as ``struct<tk, a, b>`` (tk: its text's hash)."""
+def repeated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, cuts``: for each document that has any, the word ranges that are to go, as ``struct<tk, a, b>`` (tk: its text's hash; a and b: starts and ends).
+
+    Texts travel with the columns in ``keep``, so that a later join of the same rows on the id finds them dealt out already.
+    """
     spark = docs.sparkSession
     texts = docs.select(_id().alias("id"), text_of().alias("text"))
     rows = texts.mapInArrow(_anchor_rows(window, phrase), "h long, id long")
     twice = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
     held = rows.join(twice, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))  # at most the document's own anchors
-    mine = _dealt(docs).join(held, "id").select("id", "tk", "text", "hs")
-    segments = mine.mapInArrow(_segments(window, phrase), "h long, id long, tk long, starts array<int>, segment binary, at int")
-    shards = segments.repartition(width(spark), "h").sortWithinPartitions("h", "id")
-    cuts = shards.mapInArrow(_shard(window, phrase), "id long, tk long, a int, b int")
+    mine = _dealt(docs, keep).join(held, "id")
+    segments = mine.mapInArrow(_segments(window, phrase), "h long, lo long, segment binary, at int, refs array<struct<id: long, tk: long, starts: array<int>>>")
+    shards = segments.repartition(width(spark), "h").sortWithinPartitions("h", "lo")
+    cuts = shards.mapInArrow(_shard(window, phrase), "id long, tk long, a array<int>, b array<int>")
     return cuts.groupBy("id").agg(F.collect_list(F.struct("tk", "a", "b")).alias("cuts"))
 
 
@@ -179,7 +185,7 @@ def remove(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
     counts as larger than all others. Only the named columns of ``docs`` are read.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    cuts = repeated(docs, window, phrase)
+    cuts = repeated(docs, window, phrase, keep)
     joined = _dealt(docs, keep).join(cuts, "id", "left").select("doc_id", "text", "tk", "cuts", *keep)
     names = ["doc_id", "text", "n_words", "n_removed", *keep]
 
@@ -192,7 +198,8 @@ def remove(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
                 lost = np.zeros(len(words), bool)
                 for c in cut or ():
                     if c["tk"] == tk:
-                        lost[c["a"] : c["b"]] = True
+                        for a, b in zip(c["a"], c["b"], strict=True):
+                            lost[a:b] = True
                 gone.append(int(lost.sum()))
                 texts.append(b" ".join([w for w, out in zip(words, lost.tolist(), strict=True) if not out]).decode() if gone[-1] else x)
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), *(batch.column(c) for c in keep)], names=names)
