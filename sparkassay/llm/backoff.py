@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under an n-gram model of all the others.
 
-Documents are dealt into blocks of bounded size. A block hashes its n-grams of all orders, counts the distinct ones and
+Documents are dealt, in compressed parcels, into blocks of bounded size. A block hashes its n-grams of all orders, counts the distinct ones and
 sends them, packed by hash, to the partitions of the count tables; a frequent n-gram so comes once from a block, never
 once from an occurrence. A partition sums the counts and joins them back to the blocks that hold the n-grams. The block
 then scores every word of its documents and sums up each document's.
@@ -12,6 +12,8 @@ no other document holds scores as if another held it once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,8 @@ from sparkassay.llm.words import run_hashes, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
-#: Bytes of text in a block, about.
-BLOCK = 16 << 20
+#: Bytes of text in a block, about, and partitions of the count tables for each block: both bound what a task holds.
+BLOCK, PARTS = 8 << 20, 2
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[list[list[np.ndarray]], list[tuple[np.ndarray, np.ndarray]]]:
@@ -53,10 +55,37 @@ def _ends(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(hashes, np.array([(k << 8 * BYTES) // parts for k in range(1, parts)], np.uint64))
 
 
+def _parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch for each block as one compressed parcel: half of what the shuffle's own codec makes of texts."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        cuts = np.flatnonzero(np.diff(blocks[order])) + 1
+        rows = batch.select(["doc_id", "text"])
+        out, which = [], []
+        for at in np.split(order, cuts) if len(order) else ():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows.take(pa.array(at)))
+            out.append(sink.getvalue().to_pybytes())
+            which.append(int(blocks[at[0]]))
+        yield pa.record_batch([pa.array(which, pa.int32()), pa.array(out, pa.binary())], names=["block", "parcel"])
+
+
+def _open(table: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts of a block's parcels."""
+    ids, texts = [], []
+    for x in table["parcel"]:
+        rows = pa.ipc.open_stream(x.as_buffer()).read_all()
+        ids += rows["doc_id"].to_pylist()
+        texts += [t.encode() for t in rows["text"].to_pylist()]
+    return ids, texts
+
+
 def _count(order: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        _, distinct = _grams([x.encode() for x in table["text"].to_pylist()], order)
+        _, distinct = _grams(_open(table)[1], order)
         rows = []
         for n, (h, c) in enumerate(distinct):
             ends = [0, *_ends(h, parts).tolist(), len(h)]
@@ -106,7 +135,8 @@ def _score(order: int, alpha: float, key: pa.DataType):
         return words, float(log.sum()), int(plain.sum())
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        docs, found = _grams([x.encode() for x in texts["text"].to_pylist()], order)
+        ids, plain_texts = _open(texts)
+        docs, found = _grams(plain_texts, order)
         totals: list[np.ndarray] = []
         ns = np.array(counts["n"].to_pylist(), int)
         parts = np.array(counts["part"].to_pylist(), int)
@@ -116,7 +146,7 @@ def _score(order: int, alpha: float, key: pa.DataType):
             totals.append(np.concatenate([np.empty(0, np.int64), *(_unpack(counts["totals"][int(i)].as_buffer()).astype(np.int64) for i in rows)]))
         out = [one(d, [h for h, _ in found], totals) for d in docs]
         words, logs, plain = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table([texts["doc_id"].cast(key), pa.array(words, pa.int64()), pa.array(logs, pa.float64()), pa.array(plain, pa.int64())], names=["doc_id", "n_words", "logs", "plain"])
+        return pa.table([pa.array(ids, key), pa.array(words, pa.int64()), pa.array(logs, pa.float64()), pa.array(plain, pa.int64())], names=["doc_id", "n_words", "logs", "plain"])
 
     return run
 
@@ -132,8 +162,8 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
     size = docs.agg(F.sum(F.octet_length(text_of()).cast("long")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block))
     dealt = docs.select("doc_id", text_of().alias("text"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    counted = dealt.groupBy("block").applyInArrow(_count(order, blocks), "part int, block int, n int, hashes binary, counts binary")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_parcels, "block int, parcel binary")
+    counted = dealt.groupBy("block").applyInArrow(_count(order, PARTS * blocks), "part int, block int, n int, hashes binary, counts binary")
     joined = counted.groupBy("part").applyInArrow(_join, "part int, block int, n int, totals binary")
     kind = docs.schema["doc_id"].dataType
     scored = dealt.groupBy("block").cogroup(joined.groupBy("block")).applyInArrow(_score(order, alpha, _arrow(kind)), f"doc_id {kind.simpleString()}, n_words long, logs double, plain long")
