@@ -1,11 +1,12 @@
-"""Approximate nearest neighbours by an adaptive dimension scan over probed lists.
+"""Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
 Vectors are normalised, rotated by a random orthogonal matrix and assigned to the lists of a coarse quantiser, which is
-fitted on a bounded sample. A query visits the lists whose centroids are nearest. Within a list the rotated vectors lie in
-blocks of columns: the scan adds up squared distances block by block, and after each one tests the hypothesis that the
-full distance is still below that of the fifth nearest found so far. For a random rotation the partial distance over d
-of D columns, scaled by D/d, is within a factor 1 +- epsilon/sqrt(d) of the full one with high probability; candidates
-beyond that are abandoned. Those that last are scored exactly, in double precision, on the original vectors.
+fitted on a bounded sample. A query visits all lists: without clusters its neighbours lie in any of them, so a share of
+the lists would lose some, the more the larger the table. Within a list the rotated vectors lie in blocks of columns:
+the scan adds up squared distances block by block, and after each one tests the hypothesis that the full distance is
+still below that of the fifth nearest found so far. For a random rotation the partial distance over d of D columns,
+scaled by D/d, is within a factor 1 +- epsilon/sqrt(d) of the full one with high probability; candidates beyond that are
+abandoned. Those that last are scored exactly, in double precision, on the original vectors.
 
 Lists are cut into parts of bounded size, and a part's queries into groups, so a hot list is spread over many tasks.
 """
@@ -26,8 +27,8 @@ from sparkassay.llm.common import Scratch
 SAMPLE = 16_384
 #: Vectors in a part of a list and queries in a group, at most about.
 PART, GROUP = 4096, 1024
-#: Vectors per list aimed at, lists at most, and the share of lists that a query visits (at least PROBES).
-PER_LIST, LISTS, SHARE, PROBES = 512, 1024, 0.25, 16
+#: Vectors per list aimed at, and lists at most.
+PER_LIST, LISTS = 512, 1024
 COLUMNS = 16
 #: How sure the test is: larger abandons later.
 EPSILON = 2.1
@@ -109,8 +110,8 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == (size["size"] if size else 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` nearest other rows by cosine, found in the lists that it visits.
+def search(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id, rank, vec_id, score``: each query's ``k`` nearest other rows by cosine, found in all lists.
 
     ``is_query`` is a condition on ``vec_id``. Rows with a null id or an unusable vector take no part; repeated ids are
     rows of their own, but none is a candidate for a query of its id; an empty table gives an empty result.
@@ -126,26 +127,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
     turn = rotation(len(sample["v"][0]))
     centres = fit_lists(_unit(np.stack(sample["v"])) @ turn.T, lists)
     shared = spark.sparkContext.broadcast((turn, centres))  # at most LISTS centroids
-    probes = len(centres) if lists <= PROBES else max(PROBES, round(share * lists))
-
-    def assign(most: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            turn, centres = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    near = (_unit(np.stack(pdf["v"])) @ turn.T) @ centres.T
-                    pick = near.argmax(1)[:, None] if most == 1 else np.argpartition(-near, min(most, near.shape[1]) - 1, axis=1)[:, :most]
-                    yield pdf.loc[pdf.index.repeat(pick.shape[1])].assign(list=pick.ravel())
-
-        return run
-
-    lists_of = scratch.table(rows.mapInPandas(assign(1), "vec_id long, v array<double>, list int"), "lists")
-    asked = scratch.table(rows.filter(is_query).mapInPandas(assign(probes), "vec_id long, v array<double>, list int"), "asked")
-    sizes = lists_of.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), "list")
-    sizes = F.broadcast(sizes)  # at most LISTS rows
-    spread = lambda c, other: F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(c)
-    held = lists_of.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), spread("group", "groups"), "vec_id", "v")
-    asking = asked.join(sizes, "list").select("list", spread("part", "parts"), F.pmod(F.xxhash64("vec_id"), "groups").cast("int").alias("group"), "vec_id", "v")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn, centres = shared.value
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(list=((_unit(np.stack(pdf["v"])) @ turn.T) @ centres.T).argmax(1))
+
+    lists_of = scratch.table(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"), "lists")
+    asked = scratch.table(rows.filter(is_query), "asked")
+    groups = max(1, -(-asked.count() // GROUP))
+    sizes = F.broadcast(lists_of.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))  # at most LISTS rows
+    spread = lambda c, n: F.explode(F.sequence(F.lit(0), n - 1)).alias(c)
+    held = lists_of.join(sizes, "list").select("list", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), spread("group", F.lit(groups)), "vec_id", "v")
+    asking = asked.crossJoin(sizes).select(F.col("list").alias("list"), spread("part", F.col("parts")), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"), "vec_id", "v")
 
     def visit(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(part):

@@ -348,6 +348,22 @@ def test_recall(spark):
     assert hits / n >= 0.9
 
 
+def test_recall_beyond_a_few_lists(spark):
+    """20,000 vectors without clusters: 39 lists, and the nearest lie in any of them."""
+    u = np.random.default_rng(3).standard_normal((20_000, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(u.tolist())), "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 200 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(u), 200):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hits / 500 >= 0.9, hits / 500
+
+
 def test_odd_vectors(spark):
     inf = float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [inf, 1.0]), (5, [float("nan"), 1.0]), (6, [2.0, 0.0]), (7, [1.0, 1.0]), (None, [1.0, 2.0]), (8, [1.0]), (6, [2.0, 0.0]), (50, [1.0, 0.1])]
