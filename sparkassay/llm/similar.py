@@ -1,18 +1,19 @@
-"""Near-duplicates at a Jaccard similarity of 0.8 on five-word shingles, by wide SimHash fingerprints and pivot tables.
+"""Near-duplicates at a Jaccard similarity of 0.8 on sets of five-word shingles: SimHash and pivots filter, the sets decide.
 
 A 64-bit fingerprint can't tell a similarity of 0.8 (about ten bits apart) from one of 0.6 (about fifteen), so this
-variant of ``simhash`` has 256 bits: 0.8 is 39 +- 6 bits apart, 0.6 is 59 +- 7, and two are linked at 45 or fewer. At
-such distances no exact key exists, so fingerprints meet in buckets that share a band of least shingle hashes: of twelve
-bands of four, a pair at 0.8 shares one with probability 0.998, and all of its group nearly always do by some path.
+variant of ``simhash`` has 256 bits: 0.8 is 39 +- 6 bits apart (48 +- 6 for sets of a few shingles), unrelated texts 128
++- 8. The radius is wide, so that no such pair is lost to it. At such distances no exact key exists, so documents meet in
+buckets that share a band of least shingle hashes: of twelve bands of four, a pair at 0.8 shares one with probability 0.998.
 
 Within a bucket some members are the reference fingerprints. Each member has its distance to each of them; a pair with
-any coordinate further apart than the radius is discarded, survivors are verified on the fingerprints. Members that are
-already connected aren't compared again, so a group of thousands of copies costs about its size, and a bucket gives the
-edges of a spanning forest only.
+any coordinate further apart than the radius is discarded, then those whose fingerprints are, and survivors are linked if
+the exact similarity of their sets is at least 0.8. Members that are already connected aren't compared again, so a group
+of thousands of copies costs about its size, and a bucket gives the edges of a spanning forest only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from sparkassay.llm.common import Scratch, text_of, width
 from sparkassay.llm.components import components
 from sparkassay.llm.words import mix, run_hashes, word_hashes
 
-SHINGLE, LANES, RADIUS = 5, 4, 45
+SHINGLE, LANES, RADIUS = 5, 4, 80
+#: The least Jaccard similarity, as a fraction.
+SIMILAR = (4, 5)
 BANDS, ROWS = 12, 4
 PIVOTS = 16
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -66,22 +69,32 @@ def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [np.empty((0, LANES), np.uint64)], []
+            fps, keys, nodes, sets = [np.empty((0, LANES), np.uint64)], [], [], []
             for x in batch.column(2):
                 words = word_hashes(x.as_py().encode())
-                h = run_hashes(words, min(shingle, len(words))) if len(words) else words
+                h = np.unique(run_hashes(words, min(shingle, len(words))) if len(words) else words)
                 fps.append(fingerprint(h)[None])
                 keys.append(bands(h).view(np.int64))
+                sets.append(h.tobytes())
+                nodes.append(int.from_bytes(hashlib.blake2b(sets[-1], digest_size=8).digest(), "little", signed=True))
             fp = np.concatenate(fps).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(LANES)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "tk", *(f"f{k}" for k in range(LANES)), "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(LANES)), pa.array(keys, pa.list_(pa.int64())), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "tk", *(f"f{k}" for k in range(LANES)), "keys", "node", "shingles"])
 
     lanes = ", ".join(f"f{k} long" for k in range(LANES))
-    return docs.select(*_row_key("doc_id"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, {lanes}, keys array<long>")
+    return docs.select(*_row_key("doc_id"), text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, {lanes}, keys array<long>, node long, shingles binary")
 
 
-def _local_edges(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among the rows of ``fps``."""
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is at least ``SIMILAR``."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return SIMILAR[1] * common >= SIMILAR[0] * (len(both) - common)
+
+
+def _local_edges(fps: np.ndarray, sets: list[bytes], radius: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among the rows of ``fps``, whose shingles are ``sets``."""
     n = len(fps)
+    sizes = np.array([len(s) for s in sets])
     refs = fps[:: max(1, n // PIVOTS)][:PIVOTS]
     table = np.stack([np.bitwise_count(fps ^ r).sum(1, dtype=np.int16) for r in refs], 1)  # the pivot distance table
     root = np.arange(n)
@@ -89,7 +102,8 @@ def _local_edges(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     rest = np.arange(n)  # members outside the largest component so far
     for i in range(n):
         others = rest if root[i] == root[0] else np.arange(n)
-        near = others[root[others] != root[i]]
+        near = others[(others > i) & (root[others] != root[i])]
+        near = near[SIMILAR[1] * np.minimum(sizes[near], sizes[i]) >= SIMILAR[0] * np.maximum(sizes[near], sizes[i])]
         for k in range(table.shape[1]):
             if not len(near):
                 break
@@ -98,7 +112,7 @@ def _local_edges(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
             near = near[np.bitwise_count(fps[near] ^ fps[i]).sum(1, dtype=np.int16) <= radius]
         for j in near:
             a, b = root[i], root[j]
-            if a != b:
+            if a != b and alike(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64)):
                 root[root == b] = a
                 us.append(i)
                 vs.append(int(j))
@@ -108,16 +122,16 @@ def _local_edges(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
 
 
 def _compare(radius: int):
-    """Rows ``key, node, f0, ...`` sorted by key: edges between nodes of a bucket."""
+    """Rows ``key, node, f0, ..., shingles`` sorted by key: edges between nodes of a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, sets = None, [], []
 
         def close() -> pa.RecordBatch | None:
             rows = np.concatenate(held)
             if len(rows) < 2:
                 return None
-            u, v = _local_edges(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), radius)
+            u, v = _local_edges(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), sets, radius)
             return pa.record_batch([pa.array(rows[u, 0]), pa.array(rows[v, 0])], names=["u", "v"]) if u else None
 
         for batch in batches:
@@ -128,9 +142,10 @@ def _compare(radius: int):
                 if held and keys[a] != key:
                     if (out := close()) is not None:
                         yield out
-                    held = []
+                    held, sets = [], []
                 key = keys[a]
                 held.append(rows[a:b])
+                sets += batch.column(LANES + 2)[a:b].to_pylist()
         if held and (out := close()) is not None:
             yield out
 
@@ -145,10 +160,12 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     scratch = Scratch(docs.sparkSession, "similar")
     lanes = [f"f{k}" for k in range(LANES)]
-    fps = scratch.table(_fingerprints(docs, shingle).withColumn("node", F.xxhash64(*lanes)), "fingerprints")
+    fps = scratch.table(_fingerprints(docs, shingle), "fingerprints")
     keyed = fps.select(F.explode("keys").alias("key"), "node", *lanes).distinct()
     busy = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    dealt = keyed.join(busy, "key", "left_semi").repartition(width(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "node", *lanes)
+    met = scratch.table(keyed.join(busy, "key", "left_semi"), "met")
+    sets = fps.select("node", "shingles").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = met.join(sets, "node").repartition(width(docs.sparkSession), "key").sortWithinPartitions("key").select("key", "node", *lanes, "shingles")
     edges = scratch.table(dealt.mapInArrow(_compare(radius), "u long, v long"), "edges")
     nodes = components(edges, scratch)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk")).alias("first")

@@ -213,6 +213,18 @@ def test_similar_texts_are_found_and_others_left_alone(spark, odd):
     assert similar.keep_one(odd.limit(0)).count() == 0
 
 
+def test_similar_texts_are_linked_from_the_threshold_on(spark):
+    """Pairs at exactly 0.75, 0.8 and 0.82: ``common`` of ``n`` shingles in each text."""
+    for n, common, least, most in ((182, 156, 0, 0), (180, 160, 59, 60), (182, 164, 59, 60)):
+        rows = []
+        for g in range(60):
+            base = [f"n{n}c{common}g{g}w{i}" for i in range(n + 4)]
+            rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: common + 4] + [f"{x}new" for x in base[common + 4 :]]))]
+        kept = {r.doc_id for r in similar.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {2 * g for g in range(60)} <= kept
+        assert least <= 120 - len(kept) <= most
+
+
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
