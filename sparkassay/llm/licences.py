@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Only DataFrame functions are used. A text's candidate lines (those that speak of a licence, a copyright or an SPDX tag;
-nothing else can reach the threshold, as every template's rare terms are among these lines' own) are exploded to terms
+Only DataFrame functions are used. A text's candidate lines (all but those whose terms outside the templates outweigh the
+others, so that no cosine can reach the threshold) are exploded to terms
 and joined to the templates' sparse vectors, a table of some hundred rows fixed by the templates. A file's licence is
 that of its best line. A file named like a licence file covers its directory: its licence is joined to all files below by
 their ancestor paths, and each file without a licence of its own takes the one with the longest path.
@@ -13,7 +13,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkassay.llm.common import text_of
@@ -31,7 +31,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: What a candidate line contains, in any case.
+#: What a candidate line of the SQL contains, in any case.
 MARKS = "licen[sc]e|copyright|spdx|public domain"
 #: Names of files whose licence holds for their directory, in lower case and without extension.
 NAMES = ("license", "licence", "copying", "unlicense")
@@ -67,10 +67,24 @@ def as_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), "text")
 
 
-def lines(files: DataFrame, key: str) -> DataFrame:
+def reachable(line: Column, threshold: float) -> Column:
+    """Whether a line's cosine to any template can be ``threshold``: it is at most the share of its length in their terms.
+
+    Terms of no template count once each, so the bound is never below the cosine.
+    """
+    idf = {t: i for _, t, _, i in vectors()}
+    known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+    words = F.regexp_extract_all(line, F.lit(f"({_TERM})"), F.lit(1))
+    inside = F.filter(words, lambda w: w.isin(*idf))
+    others = F.size(F.array_distinct(F.filter(words, lambda w: ~w.isin(*idf))))
+    own = F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda total, t: total + F.pow(F.size(F.filter(inside, lambda w: w == t)) * F.element_at(known, t), F.lit(2.0)))
+    return (own > 0) & (own * (1 / threshold**2 - 1 + 1e-3) >= others * OTHER**2)
+
+
+def lines(files: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """``key, line``: the candidate lines of each whole text, in lower case."""
-    found = F.filter(F.split(F.lower(text_of()), "\n"), lambda x: x.rlike(MARKS))
-    return files.filter(text_of().rlike(f"(?i){MARKS}")).select(key, F.explode(F.array_distinct(found)).alias("line"))
+    found = F.array_distinct(F.split(F.lower(text_of()), "\n"))
+    return files.select(key, F.explode(found).alias("line")).filter(reachable(F.col("line"), threshold))
 
 
 def match(candidates: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -99,7 +113,7 @@ def scan(files: DataFrame, key: str = "path", threshold: float = THRESHOLD) -> D
     text takes that of the nearest directory on its path that has one, ``inherited_from``; none gives nulls. Null and
     empty texts have no licence of their own; a null path has no directories; a null key is never matched.
     """
-    own = match(lines(files, key), key, threshold)
+    own = match(lines(files, key, threshold), key, threshold)
     rows = files.select(key, "path").join(own, key, "left").withColumnRenamed("licence", "own_licence")
     cut = lambda p: F.regexp_replace(p, "/[^/]*$", "")
     name = F.lower(F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\..*$", ""))

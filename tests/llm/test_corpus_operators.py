@@ -451,6 +451,12 @@ def test_licences_are_inherited_from_the_nearest_directory(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_lines_without_the_word_licence_match(spark):
+    rows = [("a", "This Source Code Form is subject to the terms of the Mozilla Public", "MPL-2.0"), ("b", "Use of this source code is governed by a BSD-style", "BSD-3-Clause"), ("c", "x\nReleased under the MIT.", "MIT"), ("d", "the cat is in the house and this is all there is to say", None)]
+    out = {r.path: r.own_licence for r in licences.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert out == {r[0]: r[2] for r in rows}
+
+
 def test_licence_scan_is_native(spark):
     plan = QUERIES["op1_license_scan"](spark, SF)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
