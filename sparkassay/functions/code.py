@@ -318,79 +318,127 @@ def discover(code: str | None) -> list[dict]:
     return out
 
 
-_SWAP = {ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Lt: ast.GtE, ast.GtE: ast.Lt, ast.Gt: ast.LtE, ast.LtE: ast.Gt, ast.In: ast.NotIn, ast.NotIn: ast.In, ast.Is: ast.IsNot, ast.IsNot: ast.Is, ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.FloorDiv, ast.Div: ast.Mult, ast.FloorDiv: ast.Mult, ast.Mod: ast.Mult, ast.And: ast.Or, ast.Or: ast.And}
-
-
-def _site(x: ast.AST) -> str | None:
-    if isinstance(x, ast.Compare) and type(x.ops[0]) in _SWAP:
-        return "compare"
-    if isinstance(x, ast.BinOp) and type(x.op) in _SWAP:
-        return "binop"
+#: What each operator is changed to: fixed values.
+_COMPARE = {ast.Eq: ast.NotEq, ast.NotEq: ast.Eq, ast.Lt: ast.LtE, ast.LtE: ast.Lt, ast.Gt: ast.GtE, ast.GtE: ast.Gt, ast.Is: ast.IsNot, ast.IsNot: ast.Is, ast.In: ast.NotIn, ast.NotIn: ast.In}
+_BINARY = {ast.Add: ast.Sub, ast.Sub: ast.Add, ast.Mult: ast.Add, ast.Div: ast.Mult, ast.FloorDiv: ast.Div, ast.Mod: ast.Add}
+_BOOLEAN = {ast.And: ast.Or, ast.Or: ast.And}
+#: The syntax of each kind of site.
+_SITES = {"compare": ast.Compare, "binop": ast.BinOp, "boolop": ast.BoolOp, "unary": ast.UnaryOp, "constant": ast.Constant, "return": ast.Return}
+
+
+def _change(x: ast.AST) -> tuple[str, str, object] | None:
+    """Kind of site, what stands there, and what it is changed to: an operator's class or a value."""
+    swap = lambda kind, op, table: (kind, type(op).__name__.lower(), table[type(op)]) if type(op) in table else None
+    if isinstance(x, ast.Compare):
+        return swap("compare", x.ops[0], _COMPARE)
+    if isinstance(x, ast.BinOp):
+        return swap("binop", x.op, _BINARY)
     if isinstance(x, ast.BoolOp):
-        return "boolop"
+        return swap("boolop", x.op, _BOOLEAN)
     if isinstance(x, ast.UnaryOp) and isinstance(x.op, ast.Not):
-        return "not"
-    if isinstance(x, ast.Constant) and isinstance(x.value, bool | int | float | str):
-        return "constant"
-    return "return" if isinstance(x, ast.Return) and x.value is not None else None
+        return "unary", "not", "identity"
+    if isinstance(x, ast.Constant):
+        if isinstance(x.value, bool):
+            return "constant", repr(x.value), not x.value
+        if isinstance(x.value, int | float):
+            return "constant", repr(x.value), x.value + 1
+        if isinstance(x.value, str) and x.value:
+            return "constant", repr(x.value), x.value + "x"
+    return ("return", "value", None) if isinstance(x, ast.Return) and x.value is not None else None
+
+
+def _found(tree: ast.AST | None, most: int | None) -> list[tuple[ast.AST, tuple]]:
+    return [(x, c) for x in ast.walk(tree) if hasattr(x, "lineno") and (c := _change(x))][:most] if tree else []
 
 
 def sites(code: str | None, most: int = 36) -> list[dict]:
-    """Places to mutate, in breadth-first order, at most ``most``."""
+    """Places to mutate, in breadth-first order, at most ``most``, with what stands there and what it becomes."""
     tree, _, _ = parse(code)
-    found = [(x, k) for x in ast.walk(tree) if (k := _site(x))] if tree else []
-    return [{"site": n, "kind": k, "line": x.lineno} for n, (x, k) in enumerate(found[:most])]
+    name = lambda kind, new: new.__name__ if isinstance(new, type) else new if kind == "unary" else repr(new)
+    return [{"site": n, "kind": kind, "line": x.lineno, "col": x.col_offset, "old": old, "new": name(kind, new)} for n, (x, (kind, old, new)) in enumerate(_found(tree, most))]
 
 
 def mutate(code: str | None, site: int) -> str | None:
-    """The code with one site changed; null if there is no such site."""
+    """The code with one site changed; null if there is no such site.
+
+    A site is a kind of syntax at a position; of several that begin there, such as a chain of operators, the innermost changes.
+    """
     tree, _, _ = parse(code)
-    found = [(x, k) for x in ast.walk(tree) if (k := _site(x))] if tree else []
+    found = _found(tree, None)
     if not 0 <= site < len(found):
         return None
-    x, kind = found[site]
+    at, (kind, _, new) = found[site]
+    same = [x for x in ast.walk(tree) if isinstance(x, _SITES[kind]) and (x.lineno, x.col_offset) == (at.lineno, at.col_offset)]
+    x = same[-1]  # the walk goes inwards
 
     class Change(ast.NodeTransformer):
         def visit(self, node: ast.AST) -> ast.AST:
             if node is not x:
                 return self.generic_visit(node)
             if kind == "compare":
-                node.ops[0] = _SWAP[type(node.ops[0])]()
+                node.ops[0] = new()
             elif kind in ("binop", "boolop"):
-                node.op = _SWAP[type(node.op)]()
-            elif kind == "not":
+                node.op = new()
+            elif kind == "unary":
                 return node.operand
             elif kind == "return":
                 node.value = ast.Constant(None)
-            elif isinstance(node.value, bool):
-                node.value = not node.value
             else:
-                node.value = node.value + ("x" if isinstance(node.value, str) else 1)
+                node.value = new
             return node
 
     return ast.unparse(ast.fix_missing_locations(Change().visit(tree)))
 
 
-#: Modules and names that a candidate may not use: fixed values.
-UNSAFE_MODULES = ("os", "sys", "subprocess", "socket", "shutil", "ctypes", "multiprocessing", "threading", "requests", "urllib", "http", "pathlib", "importlib", "builtins")
-UNSAFE_NAMES = ("eval", "exec", "compile", "open", "input", "__import__", "globals", "locals", "vars", "breakpoint")
+def mutants(code: str | None, most: int = 36) -> list[dict]:
+    """The distinct programs that the sites' changes give, other than the code itself."""
+    seen, out = {code}, []
+    for s in sites(code, most):
+        text = mutate(code, s["site"])
+        if text is not None and f"{text}\n" not in seen:
+            seen.add(f"{text}\n")
+            out.append({"site": s["site"], "operator": f"{s['kind']}:{s['old']}->{s['new']}", "code": f"{text}\n"})
+    return out
+
+
+#: The safety policy: names, modules and attributes that are forbidden, attributes that a module is limited to, and modules that may be imported. Fixed values.
+BLOCKED_NAMES = ("eval", "exec", "open", "input", "compile", "__import__", "globals", "locals", "vars", "breakpoint", "help", "dir")
+BLOCKED_MODULES = ("os", "sys", "subprocess", "socket", "pathlib", "shutil", "requests", "urllib", "http", "ftplib", "multiprocessing", "ctypes", "asyncio", "threading", "concurrent", "resource", "signal", "site", "importlib", "builtins", "pickle", "marshal", "shelve", "sqlite3", "tempfile", "mmap", "psutil")
+BLOCKED_ATTRIBUTES = ("__subclasses__", "__globals__", "__code__", "__builtins__", "__import__", "__class__", "__mro__", "__base__", "__bases__", "__getattribute__")
+LIMITED_MODULES = {"asyncio": ("sleep", "gather", "wait_for", "run")}
+ALLOWED_MODULES = ("math", "re", "statistics", "itertools", "functools", "collections", "typing", "dataclasses", "decimal", "fractions", "heapq", "bisect", "string", "random", "enum", "operator", "asyncio")
+
+
+def _forbidden(x: ast.AST, local: tuple[str, ...], trusted: bool) -> str | None:
+    if isinstance(x, ast.Import):
+        return next((f"import {a.name}" for a in x.names if a.name.split(".")[0] not in (*ALLOWED_MODULES, *local)), None)
+    if isinstance(x, ast.ImportFrom) and not x.level:
+        top = (x.module or "").split(".")[0]
+        limits = None if trusted else LIMITED_MODULES.get(top)
+        return f"import {x.module}" if top not in (*ALLOWED_MODULES, *local) or limits and any(a.name not in limits for a in x.names) else None
+    if isinstance(x, ast.Name) and x.id in BLOCKED_NAMES:
+        return f"name {x.id}"
+    if isinstance(x, ast.Attribute):
+        if x.attr in BLOCKED_NAMES + BLOCKED_ATTRIBUTES:
+            return f"attribute {x.attr}"
+        root = x.value
+        while isinstance(root, ast.Attribute):
+            root = root.value
+        if not trusted and isinstance(root, ast.Name) and x.attr not in LIMITED_MODULES.get(root.id, (x.attr,)):
+            return f"attribute {root.id}.{x.attr}"
+    if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and isinstance(x.func.value, ast.Name) and not trusted:
+        module = x.func.value.id
+        if module in BLOCKED_MODULES and x.func.attr not in LIMITED_MODULES.get(module, ()):
+            return f"call {module}.{x.func.attr}"
+    return None
 
 
-def violation(code: str | None) -> str | None:
-    """The first use of a module, name or attribute that the safety policy forbids."""
+def violation(code: str | None, local: tuple[str, ...] = (), trusted: bool = False) -> str | None:
+    """The first use of a module, name or attribute that the safety policy forbids; ``local`` modules may be imported."""
     tree, kind, _ = parse(code)
     if tree is None:
         return kind
-    for x in ast.walk(tree):
-        if isinstance(x, ast.Import | ast.ImportFrom):
-            for m in [x.module or ""] if isinstance(x, ast.ImportFrom) else [a.name for a in x.names]:
-                if m.split(".")[0] in UNSAFE_MODULES:
-                    return f"import {m}"
-        elif isinstance(x, ast.Name) and x.id in UNSAFE_NAMES:
-            return f"name {x.id}"
-        elif isinstance(x, ast.Attribute) and x.attr.startswith("__"):
-            return f"attribute {x.attr}"
-    return None
+    return next((v for x in ast.walk(tree) if (v := _forbidden(x, local, trusted))), None)
 
 
 def doctests(text: str | None) -> list[dict]:
@@ -474,7 +522,7 @@ def udfs() -> dict:
     out |= {"validity": two(validity, "status string, invalid long, redefines_kind string, missing_check long, suspicious long"), "signature": two(signature, "signature string, arg_count long"), "runner_mode": one(runner_mode, "mode string, top_level_asserts long")}
     out |= {"normalise_generated": plain(normalise_generated, "string"), "fenced": plain(fenced, "string"), "parseable_prefix": plain(parseable_prefix, "string"), "violation": plain(violation, "string"), "top_imports": plain(top_imports, "array<string>"), "is_check_harness": plain(is_check_harness, "boolean")}
     out |= {"is_full_function": pair(is_full_function, "boolean"), "prune": pair(prune, "string"), "mutate": pair(lambda c, n: mutate(c, int(n)), "string")}
-    out |= {"variants": plain(variants, "array<struct<variant: long, kind: string, code: string>>"), "discover": plain(discover, "array<struct<name: string, kind: string, line: long, effective: string>>"), "sites": plain(sites, "array<struct<site: long, kind: string, line: long>>"), "doctests": plain(doctests, "array<struct<call: string, expected: string>>"), "segments": one(segments, "setup array<string>, asserts array<string>")}
+    out |= {"variants": plain(variants, "array<struct<variant: long, kind: string, code: string>>"), "discover": plain(discover, "array<struct<name: string, kind: string, line: long, effective: string>>"), "sites": plain(sites, "array<struct<site: long, kind: string, line: long, col: long, old: string, new: string>>"), "mutants": plain(mutants, "array<struct<site: long, operator: string, code: string>>"), "doctests": plain(doctests, "array<struct<call: string, expected: string>>"), "segments": one(segments, "setup array<string>, asserts array<string>")}
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Word lists: fixed values.
 BOUNDARY_WORDS = ("empty", "none", "null", "zero", "negative", "min", "max", "boundary", "invalid")
-EXCEPTION_WORDS = ("raise", "raises", "exception", "error", "invalid", "illegal", "valueerror", "typeerror", "indexerror", "keyerror", "zerodivisionerror", "assertionerror", "fail", "failure", "throw", "throws", "undefined", "unsupported")
+EXCEPTION_WORDS = ("raise", "raises", "raised", "error", "exception", "invalid", "illegal", "fail", "fails", "failure", "overflow", "underflow", "zerodivision", "typeerror", "valueerror", "keyerror", "indexerror", "runtimeerror")
 STRICT_ADOPT = {"score": 75, "mutation": 0.6, "line": 0.8}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkassay.functions import scalars as S
@@ -357,45 +358,95 @@ def _(spark, sf):
 
 # --- taxonomy ----------------------------------------------------------------------------------------------------------
 
-_LOGS = f"""{_CAND}, logs AS (SELECT id AS candidate_id, unnest(list_filter([
-    CASE WHEN tax >= 0.08 THEN {{'stage': 'execution', 'failure_category': 'execution_timeout', 'rule_id': 'exec.timeout', 'severity': 'major', 'rule_strength': 'strong'}} END,
-    CASE WHEN qty <= 3 THEN {{'stage': 'static_structure', 'failure_category': 'assertion_weak_or_missing', 'rule_id': 'static.no_assertions', 'severity': 'major', 'rule_strength': 'strong'}} END,
-    CASE WHEN disc < 0.02 THEN {{'stage': 'coverage', 'failure_category': 'boundary_case_gap', 'rule_id': 'coverage.low_line', 'severity': 'moderate', 'rule_strength': 'moderate'}} END,
-    CASE WHEN part % 4 = 0 THEN {{'stage': 'mutation', 'failure_category': 'mutation_survival_major', 'rule_id': 'mutation.survival', 'severity': 'major', 'rule_strength': 'strong'}} END], lambda x: x IS NOT NULL)) AS l FROM cand)"""
+#: Stage tables made of the candidates; the labels below are typed by hand, not from the rule table.
+_STAGES = f"""{_CAND},
+    ex AS (SELECT id AS candidate_id, CASE part % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'timeout' WHEN 2 THEN 'infra_error' WHEN 3 THEN 'syntax_error' ELSE 'passed' END AS execution_status,
+        CASE task_id % 4 WHEN 0 THEN 'AssertionError' WHEN 1 THEN 'KeyError' WHEN 2 THEN 'OSError' END AS exception_type, CASE WHEN part % 5 = 0 THEN '' ELSE ' trace ' || part END AS traceback_snippet, 'err' AS stderr FROM cand WHERE id % 11 <> 0),
+    st AS (SELECT id AS candidate_id, CASE WHEN qty <= 3 THEN 0 WHEN qty > 5 THEN 2 END AS num_asserts, CASE WHEN part % 3 = 0 THEN 1 ELSE 0 END AS num_try_except, part % 5 = 0 AS has_pytest_raises FROM cand WHERE id % 7 <> 0),
+    co AS (SELECT id AS candidate_id, CASE part % 10 WHEN 9 THEN 'tool_error' WHEN 8 THEN 'skipped' ELSE 'ok' END AS coverage_status, disc * 10 AS line_coverage, tax * 12 AS branch_coverage FROM cand WHERE id % 13 <> 0),
+    mu AS (SELECT id AS candidate_id, CASE part % 9 WHEN 0 THEN 'timeout' WHEN 1 THEN 'tool_error' ELSE 'ok' END AS mutation_status, CASE WHEN part % 2 = 0 THEN 'boom' ELSE '' END AS mutation_error_msg, CASE WHEN qty < 10 THEN 'E' END AS mutation_error_type, part % 3 AS mutants_survived FROM cand WHERE id % 5 <> 0),
+    ca AS (SELECT id AS candidate_id, CASE WHEN disc > 0.09 THEN 1 ELSE 0 END AS redefines, CASE WHEN part % 4 = 0 THEN 'It raises an Error' ELSE 'adds' END AS prompt FROM cand),
+    j AS (SELECT coalesce(ex.candidate_id, mu.candidate_id) AS candidate_id, ex.candidate_id IS NOT NULL AS ran, ex.* EXCLUDE candidate_id, mu.* EXCLUDE candidate_id FROM ex FULL JOIN mu ON ex.candidate_id = mu.candidate_id),
+    w AS (SELECT j.*, st.candidate_id IS NOT NULL AND ran AS static, st.* EXCLUDE candidate_id, co.* EXCLUDE candidate_id, ca.* EXCLUDE candidate_id FROM j LEFT JOIN st ON j.candidate_id = st.candidate_id LEFT JOIN co ON j.candidate_id = co.candidate_id LEFT JOIN ca ON j.candidate_id = ca.candidate_id),
+    t AS (SELECT *, substr(trim(CASE WHEN traceback_snippet <> '' THEN traceback_snippet ELSE stderr END), 1, 1200) AS said FROM w),
+    logs AS (
+        SELECT candidate_id, 'execution' AS stage, 'invalid_candidate_redefines_target' AS failure_category, 'redefines_target_symbol' AS failure_subtype, 'major' AS severity, 'strong' AS rule_strength, 'exec.invalid_candidate_redefines_target' AS rule_id, 'generated_candidates' AS provenance, false AS needs_manual_review, NULL AS said FROM t WHERE ran AND redefines > 0
+        UNION ALL SELECT candidate_id, 'syntax', 'syntax_error', 'parse_failed', 'major', 'strong', 'exec.syntax_error', 'execution', false, said FROM t WHERE execution_status = 'syntax_error'
+        UNION ALL SELECT candidate_id, 'execution', 'execution_timeout', 'subprocess_timeout', 'major', 'strong', 'exec.timeout', 'execution', false, said FROM t WHERE execution_status = 'timeout'
+        UNION ALL SELECT candidate_id, 'execution', 'import_or_env_error', coalesce(exception_type, 'infra_error'), 'major', 'strong', 'exec.infra_error', 'execution', true, said FROM t WHERE execution_status = 'infra_error'
+        UNION ALL SELECT candidate_id, 'execution', CASE exception_type WHEN 'AssertionError' THEN 'execution_assertion_mismatch' WHEN 'KeyError' THEN 'execution_call_contract_error' ELSE 'test_runtime_failure' END, CASE exception_type WHEN 'AssertionError' THEN 'assertion_error' ELSE coalesce(exception_type, 'execution_failed') END, 'major', 'moderate', 'exec.failed', 'execution', true, said FROM t WHERE execution_status = 'failed'
+        UNION ALL SELECT candidate_id, 'static_structure', 'assertion_weak_or_missing', 'no_assertions', 'major', 'strong', 'static.no_assertions', 'static_features', true, NULL FROM t WHERE static AND coalesce(num_asserts, 0) = 0
+        UNION ALL SELECT candidate_id, 'static_structure', 'exception_path_gap', 'no_exception_checks', 'moderate', 'heuristic', 'static.exception_path_gap', 'static_features', true, NULL FROM t WHERE static AND prompt <> 'adds' AND NOT has_pytest_raises AND num_try_except = 0
+        UNION ALL SELECT candidate_id, 'coverage', 'boundary_case_gap', 'low_line_coverage', 'moderate', 'heuristic', 'coverage.low_line_coverage', 'coverage_results', true, NULL FROM t WHERE static AND coverage_status = 'ok' AND line_coverage < 0.8
+        UNION ALL SELECT candidate_id, 'coverage', 'branch_distinguishing_gap', 'low_branch_coverage', 'moderate', 'heuristic', 'coverage.low_branch_coverage', 'coverage_results', true, NULL FROM t WHERE static AND coverage_status = 'ok' AND branch_coverage < 0.8
+        UNION ALL SELECT candidate_id, 'coverage', 'other', 'coverage_tool_error', 'minor', 'moderate', 'coverage.tool_error', 'coverage_results', true, NULL FROM t WHERE static AND coverage_status = 'tool_error'
+        UNION ALL SELECT candidate_id, 'mutation', 'mutation_timeout', 'mutation_tool_timeout', 'major', 'strong', 'mutation.timeout', 'mutation_results', false, nullif(mutation_error_msg, '') FROM t WHERE mutation_status = 'timeout'
+        UNION ALL SELECT candidate_id, 'mutation', 'mutation_unavailable', coalesce(nullif(mutation_error_msg, ''), mutation_error_type, 'mutation_tool_error'), 'moderate', 'strong', 'mutation.tool_error', 'mutation_results', true, NULL FROM t WHERE mutation_status = 'tool_error'
+        UNION ALL SELECT candidate_id, 'mutation', 'mutation_survival_major', 'survived_mutants_present', 'major', 'strong', 'mutation.survival_major', 'mutation_results', true, NULL FROM t WHERE mutation_status = 'ok' AND mutants_survived >= 1)"""
 
 
 def _logs(spark, sf):
-    c = F.col
-    rules = [
-        TX.Rule("exec.timeout", "execution", "execution_timeout", "major", "strong", c("tax") >= 0.08),
-        TX.Rule("static.no_assertions", "static_structure", "assertion_weak_or_missing", "major", "strong", c("qty") <= 3),
-        TX.Rule("coverage.low_line", "coverage", "boundary_case_gap", "moderate", "moderate", c("disc") < 0.02),
-        TX.Rule("mutation.survival", "mutation", "mutation_survival_major", "major", "strong", c("part") % 4 == 0),
-    ]
-    return TX.explode_rules(_candidates(spark, sf).withColumnRenamed("id", "candidate_id"), rules, ["candidate_id"])
+    c, f = F.col, F.when
+    cand = _candidates(spark, sf).withColumnRenamed("id", "candidate_id")
+    pick = lambda by, names, other=None: F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), by) if other is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), by), F.lit(other))
+    mod = lambda x, n: (c(x) % n).cast("int")
+    execution = cand.filter("candidate_id % 11 <> 0").select("candidate_id", pick(mod("part", 6), {0: "failed", 1: "timeout", 2: "infra_error", 3: "syntax_error"}, "passed").alias("execution_status"), pick(mod("task_id", 4), {0: "AssertionError", 1: "KeyError", 2: "OSError"}).alias("exception_type"), f(c("part") % 5 == 0, "").otherwise(F.concat(F.lit(" trace "), "part")).alias("traceback_snippet"), F.lit("err").alias("stderr"))
+    static = cand.filter("candidate_id % 7 <> 0").select("candidate_id", f(c("qty") <= 3, 0).when(c("qty") > 5, 2).alias("num_asserts"), f(c("part") % 3 == 0, 1).otherwise(0).alias("num_try_except"), (c("part") % 5 == 0).alias("has_pytest_raises"))
+    coverage = cand.filter("candidate_id % 13 <> 0").select("candidate_id", pick(mod("part", 10), {9: "tool_error", 8: "skipped"}, "ok").alias("coverage_status"), (c("disc") * 10).alias("line_coverage"), (c("tax") * 12).alias("branch_coverage"))
+    mutation = cand.filter("candidate_id % 5 <> 0").select("candidate_id", pick(mod("part", 9), {0: "timeout", 1: "tool_error"}, "ok").alias("mutation_status"), f(c("part") % 2 == 0, "boom").otherwise("").alias("mutation_error_msg"), f(c("qty") < 10, "E").alias("mutation_error_type"), (c("part") % 3).alias("mutants_survived"))
+    candidates = cand.select("candidate_id", (c("disc") > 0.09).cast("int").alias("redefines_target_flag"), f(c("part") % 4 == 0, "It raises an Error").otherwise("adds").alias("prompt"))
+    return TX.dedup_logs(TX.explode_rules(TX.join_stages(execution, static, coverage, mutation, candidates), TX.stage_rules(), ["candidate_id"]), ["candidate_id"])
+
 
+_LABELS = "candidate_id, stage, failure_category, failure_subtype, severity, rule_strength, rule_id, provenance, needs_manual_review"
 
-@query("stg_05_rule_logs", f"WITH {_LOGS} SELECT candidate_id, l.stage AS stage, l.failure_category AS failure_category, l.rule_id AS rule_id, l.severity AS severity FROM logs")
+
+@query("stg_05_rule_logs", f"WITH {_STAGES} SELECT {_LABELS}, true AS auto_detected, 'ftx_v3' AS taxonomy_rule_version, said FROM logs")
 def _(spark, sf):
-    return _logs(spark, sf).select("candidate_id", "stage", "failure_category", "rule_id", "severity")
+    said = F.when(~F.col("evidence").startswith("{"), F.col("evidence")).alias("said")
+    return _logs(spark, sf).select(*_LABELS.split(", "), "auto_detected", "taxonomy_rule_version", said)
 
 
-_PRIORITY = "CASE l.failure_category WHEN 'mutation_survival_major' THEN 100 WHEN 'boundary_case_gap' THEN 85 WHEN 'assertion_weak_or_missing' THEN 80 ELSE 60 END"
+@query(
+    "stg_05_log_counts",
+    f"""WITH {_STAGES} SELECT kind, value, count(*) AS n FROM (SELECT 'stage' AS kind, stage AS value FROM logs UNION ALL SELECT 'category', failure_category FROM logs
+    UNION ALL SELECT 'review', CASE WHEN needs_manual_review THEN 'needs_manual_review' ELSE 'auto_only' END FROM logs) GROUP BY ALL""",
+)
+def _(spark, sf):
+    return TX.log_counts(_logs(spark, sf))
 
 
-@query("agg_20_primary_failure", f"WITH {_LOGS} SELECT candidate_id, l.failure_category AS category, l.rule_id AS rule_id FROM logs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY {_PRIORITY} DESC) = 1")
+@query("sort_08_log_order", f"WITH {_STAGES} SELECT {_LABELS}, row_number() OVER (PARTITION BY candidate_id ORDER BY stage, failure_category, failure_subtype, rule_id) AS place FROM logs")
 def _(spark, sf):
-    return TX.primary(_logs(spark, sf)).select("candidate_id", F.col("primary_failure_category").alias("category"), F.col("primary_rule_id").alias("rule_id"))
+    order = Window.partitionBy("candidate_id").orderBy(*TX.sort_keys())
+    return _logs(spark, sf).select(*_LABELS.split(", "), F.row_number().over(order).alias("place"))
+
+
+#: Ranks of what the stage tables give, typed by hand.
+_PRIORITY = """CASE failure_category WHEN 'mutation_survival_major' THEN 100 WHEN 'branch_distinguishing_gap' THEN 95 WHEN 'exception_path_gap' THEN 90 WHEN 'boundary_case_gap' THEN 85 WHEN 'assertion_weak_or_missing' THEN 80
+    WHEN 'execution_assertion_mismatch' THEN 78 WHEN 'execution_call_contract_error' THEN 77 WHEN 'invalid_candidate_redefines_target' THEN 76 WHEN 'test_runtime_failure' THEN 70 WHEN 'syntax_error' THEN 65
+    WHEN 'execution_timeout' THEN 60 WHEN 'mutation_unavailable' THEN 56 WHEN 'mutation_timeout' THEN 55 WHEN 'import_or_env_error' THEN 40 ELSE 0 END"""
+
+
+@query("agg_20_primary_failure", f"WITH {_STAGES} SELECT candidate_id, failure_category AS category, failure_subtype AS subtype, severity, rule_id FROM logs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY {_PRIORITY} DESC) = 1")
+def _(spark, sf):
+    p = TX.primary(_logs(spark, sf))
+    return p.select("candidate_id", F.col("primary_failure_category").alias("category"), F.col("primary_failure_subtype").alias("subtype"), F.col("primary_severity").alias("severity"), F.col("primary_rule_id").alias("rule_id"))
+
+
+_FLAGS = ("mutation_survival_major", "branch_distinguishing_gap", "exception_path_gap", "boundary_case_gap", "assertion_weak_or_missing", "execution_assertion_mismatch", "execution_call_contract_error", "syntax_error")
 
 
 @query(
     "agg_21_taxonomy_roll_up",
-    f"""WITH {_LOGS} SELECT candidate_id, count(*) AS failure_log_count, string_agg(l.failure_category, '|' ORDER BY l.stage, l.failure_category) AS categories, string_agg(l.stage, '|' ORDER BY l.stage) AS stages,
-    CAST(max(CASE WHEN l.failure_category = 'boundary_case_gap' THEN 1 ELSE 0 END) AS INT) AS has_boundary FROM logs GROUP BY 1""",
+    f"""WITH {_STAGES}, c AS (SELECT candidate_id, string_agg(failure_category, '|' ORDER BY stage, failure_category) AS categories FROM (SELECT DISTINCT candidate_id, stage, failure_category FROM logs) GROUP BY 1),
+    s AS (SELECT candidate_id, string_agg(stage, '|' ORDER BY stage) AS stages FROM (SELECT DISTINCT candidate_id, stage FROM logs) GROUP BY 1)
+    SELECT candidate_id, count(*) AS failure_log_count, any_value(categories) AS categories, any_value(stages) AS stages, CAST(max(CASE WHEN failure_category = 'mutation_unavailable' THEN 1 ELSE 0 END) AS INT) AS mutation_unavailable,
+    {", ".join(f"CAST(max(CASE WHEN failure_category = '{x}' THEN 1 ELSE 0 END) AS INT) AS has_{x}" for x in _FLAGS)} FROM logs JOIN c USING (candidate_id) JOIN s USING (candidate_id) GROUP BY 1""",
 )
 def _(spark, sf):
-    r = TX.roll_up(_logs(spark, sf), flags={"has_boundary": "boundary_case_gap"})
-    return r.select("candidate_id", "failure_log_count", F.col("failure_category_list").alias("categories"), F.col("failure_stage_list").alias("stages"), "has_boundary")
+    r = TX.roll_up(_logs(spark, sf))
+    return r.select("candidate_id", "failure_log_count", F.col("failure_category_list").alias("categories"), F.col("failure_stage_list").alias("stages"), "mutation_unavailable", *[f"has_{x}" for x in _FLAGS])
 
 
 # --- statistics --------------------------------------------------------------------------------------------------------

@@ -420,7 +420,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.loc("text").alias("loc"), S.has_doctest("text").alias("doctest"))
 
 
-@query("fn_13_exception_words", r"SELECT page_id, regexp_matches(html, '(?i)\b(raise|raises|exception|error|invalid|illegal|valueerror|typeerror|indexerror|keyerror|zerodivisionerror|assertionerror|fail|failure|throw|throws|undefined|unsupported)\b') AS says FROM pages")
+@query("fn_13_exception_words", r"SELECT page_id, regexp_matches(html, '(?i)\b(raise|raises|raised|error|exception|invalid|illegal|fail|fails|failure|overflow|underflow|zerodivision|typeerror|valueerror|keyerror|indexerror|runtimeerror)\b') AS says FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", S.mentions_exception("html").alias("says"))
 

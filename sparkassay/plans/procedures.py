@@ -54,7 +54,7 @@ def _(spark, sf):
 def _(spark, sf):
     u = K.udfs()
     found = _code(spark).select("id", "code", F.explode(u["sites"]("code")).alias("v")).select("id", "code", "v.*")
-    return found.select("id", "site", "kind", "line", u["mutate"]("code", F.col("site").cast("string")).alias("mutant"))
+    return found.select("id", "site", "kind", "line", "old", "new", u["mutate"]("code", F.col("site").cast("string")).alias("mutant"))
 
 
 @query("fn_15_pytest_report", "SELECT 1 AS id, 7 AS collected, 5 AS passed, 2 AS failed, 'ValueError' AS exception_type UNION ALL SELECT 2, 3, 3, NULL, NULL")

@@ -52,9 +52,23 @@ def test_variants():
 def test_mutation_sites():
     code = "def f(x):\n    if x > 0 and not x == 3:\n        return x + 1\n    return True\n"
     kinds = [s["kind"] for s in K.sites(code)]
-    assert {"compare", "boolop", "not", "binop", "constant", "return"} <= set(kinds)
+    assert {"compare", "boolop", "unary", "binop", "constant", "return"} <= set(kinds)
     assert all(K.mutate(code, n) not in (None, code) for n in range(len(kinds)))
     assert K.mutate(code, 99) is None
+    changed = {c: K.mutants(c)[0] for c in ("a < b", "a <= b", "a > b", "a >= b", "a * b", "a / b", "a // b", "a % b", "a in b", "not a", "True", "1.5", "x = 's'")}
+    assert {c: m["code"].strip() for c, m in changed.items()} == {"a < b": "a <= b", "a <= b": "a < b", "a > b": "a >= b", "a >= b": "a > b", "a * b": "a + b", "a / b": "a * b", "a // b": "a / b", "a % b": "a + b", "a in b": "a not in b", "not a": "a", "True": "False", "1.5": "2.5", "x = 's'": "x = 'sx'"}
+    assert changed["a < b"]["operator"] == "compare:lt->LtE"
+    assert K.sites("''") == [] and K.sites("a ** b") == [] and len(K.sites("\n".join(["a + b"] * 50))) == 36
+    # Both operators of a chain begin at the same place: the inner one changes, and equal programs stay once.
+    assert [m["code"] for m in K.mutants("a * b + c")] == ["a - b + c\n", "a + b + c\n"]
+
+
+def test_safety_policy():
+    bad = {"import os.path": "import os.path", "import numpy": "import numpy", "from asyncio import Queue": "import asyncio", "import asyncio\nasyncio.create_task(f)": "call asyncio.create_task", "x.__class__": "attribute __class__", "help": "name help", "x.eval": "attribute eval", "pickle.loads(b)": "call pickle.loads"}
+    assert {c: K.violation(c) for c in bad} == bad
+    fine = ("import math, asyncio\nasyncio.run(f())", "from . import os", "x.__dict__", "a = 1", "from asyncio import sleep")
+    assert [K.violation(c) for c in fine] == [None] * len(fine)
+    assert K.violation("import mine.part", ("mine",)) is None
 
 
 def test_discovery():
@@ -67,7 +81,7 @@ def test_text_helpers():
     assert K.signature("def f(self, a: dict[str, int] = {1: (2)},\n      *b) -> int:\n  pass") == {"signature": "def f(self, a: dict[str, int] = {1: (2)}, *b) -> int:", "arg_count": 2}
     assert K.top_imports("import a\n\nfrom b import c\ntext\nimport d") == ["import a", "from b import c"]
     assert K.parseable_prefix("def test_a():\n    assert 1\ndef broken(") == "def test_a():\n    assert 1"
-    assert K.violation("import os.path") == "import os.path" and K.violation("x.__class__") == "attribute __class__" and K.violation("a = 1") is None
+    assert K.violation("import os.path") == "import os.path"
     assert K.doctests(">>> f(1)\n2\n") == [{"call": "f(1)", "expected": "2"}]
     assert K.assemble("def f(x):\n", "    return x\n", "f")["mode"] == "prompt_plus_body"
     assert K.prune("assert 1\nassert 2", "t.py:1: AssertionError") == "pass\nassert 2"

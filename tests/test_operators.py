@@ -105,11 +105,21 @@ def test_primary_failure_ties_fall_to_the_rule(spark):
 
 
 def test_stage_rules(spark):
-    cols = "candidate_id int, redefines_target_flag int, execution_status string, traceback_snippet string, exception_type string, num_asserts int, num_pytest_raises int, prompt string, num_exception_checks int, line_coverage double, branch_coverage double, coverage_status string, mutation_status string, mutants_survived int"
-    data = [(1, 0, "failed", "tb", "TypeError", 1, 0, "adds", 0, None, None, "skipped", "skipped", None), (2, 0, "passed", None, None, 0, 0, "raises an error", 0, 0.5, 0.8, "ok", "ok", 3), (3, None, None, None, None, None, None, None, None, None, None, None, None, None)]
-    logs = TX.explode_rules(spark.createDataFrame(data, cols), TX.stage_rules(), ["candidate_id"])
-    assert rows(logs, "candidate_id", "rule_id") == [(1, "exec.failed"), (2, "coverage.low_line_coverage"), (2, "mutation.survival_major"), (2, "static.exception_path_gap"), (2, "static.no_assertions")]
-    assert logs.filter("candidate_id = 1").first().failure_category == "execution_call_contract_error"
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    execution = table([(1, "failed", "TypeError", "tb"), (2, "passed", None, None), (3, None, None, None), (4, "infra_error", " ", ""), (5, "failed", "OSError", "x" * 2000)], "candidate_id int, execution_status string, exception_type string, traceback_snippet string")
+    static = table([(2, 0, 0, False, 0), (1, 1, 0, True, 1), (9, 0, 0, False, 0)], "candidate_id int, num_asserts int, num_try_except int, has_pytest_raises boolean, num_pytest_raises int")
+    coverage = table([(2, "ok", 0.5, 0.8), (1, "tool_error", None, None)], "candidate_id int, coverage_status string, line_coverage double, branch_coverage double")
+    mutation = table([(2, "ok", 3, None), (7, "tool_error", None, "no tool"), (1, "skipped", 5, None)], "candidate_id int, mutation_status string, mutants_survived int, mutation_error_msg string")
+    candidates = table([(2, 1, "raises an error"), (1, 0, "adds")], "candidate_id int, redefines_target_flag int, prompt string")
+    logs = TX.explode_rules(TX.join_stages(execution, static, coverage, mutation, candidates), TX.stage_rules(), ["candidate_id"])
+    out = {(r.candidate_id, r.rule_id): r for r in logs.collect()}
+    assert sorted(out) == [(1, "coverage.tool_error"), (1, "exec.failed"), (2, "coverage.low_line_coverage"), (2, "exec.invalid_candidate_redefines_target"), (2, "mutation.survival_major"), (2, "static.exception_path_gap"), (2, "static.no_assertions"), (4, "exec.infra_error"), (5, "exec.failed"), (7, "mutation.tool_error")]
+    r = out[1, "exec.failed"]
+    assert (r.failure_category, r.failure_subtype, r.severity, r.rule_strength, r.needs_manual_review, r.evidence) == ("execution_call_contract_error", "TypeError", "major", "moderate", True, "tb")
+    assert (out[4, "exec.infra_error"].failure_subtype, out[4, "exec.infra_error"].evidence) == ("infra_error", None)
+    assert (out[5, "exec.failed"].failure_category, len(out[5, "exec.failed"].evidence)) == ("test_runtime_failure", 1200)
+    assert (out[7, "mutation.tool_error"].failure_subtype, out[7, "mutation.tool_error"].rule_strength, out[7, "mutation.tool_error"].severity) == ("no tool", "strong", "moderate")
+    assert out[2, "coverage.low_line_coverage"].evidence == '{"line_coverage":0.5,"threshold":0.8}'
 
 
 @pytest.mark.parametrize("policy, expected", [("null", (1, 2.0, None, None)), ("mean", (1, 2.0, None, 2.0)), ("zero", (1, 2.0, 0.0, 2.0))])
