@@ -225,6 +225,36 @@ def test_similar_texts_are_linked_from_the_threshold_on(spark):
         assert least <= 120 - len(kept) <= most
 
 
+def brute_similar(known):
+    """Least ids of the components of all pairs whose sets of five-word shingles are 0.8 alike."""
+    sets = []
+    for _, t in known:
+        w = t.encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = linked(known, lambda i: [j for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    least = {}
+    for (d, _), g in zip(known, group, strict=True):
+        least[g] = min(least.get(g, d), d)
+    return set(least.values())
+
+
+@pytest.mark.parametrize("cell", [2, 512])
+def test_similar_groups_equal_brute_force(spark, docs, cell):
+    """Chains of growing edits: members are similar to some of their group only; cells of two parts split every bucket."""
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(6):
+        text = [f"c{rnd.randrange(500)}" for _ in range(300)]
+        for _ in range(12):
+            text = list(text)
+            for at in rnd.sample(range(300), rnd.choice([1, 4, 9, 14])):
+                text[at] = f"c{rnd.randrange(500)}"
+            rows.append((len(rows), " ".join(text)))
+    known = rows + [(1000 + i, t) for i, t in texts(docs)]
+    got = {r.doc_id for r in similar.representatives(spark.createDataFrame(known, "doc_id long, text string"), cell=cell).collect()}
+    assert got == brute_similar(known)
+
+
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
