@@ -31,6 +31,12 @@ def parse(code: str | None) -> tuple[ast.Module | None, str | None, str | None]:
         return None, type(e).__name__, str(e)[:300]
 
 
+def parse_check(code: str | None) -> dict:
+    """Whether code parses, and the kind and message of what is wrong."""
+    tree, kind, message = parse(code)
+    return {"ok": tree is not None, "kind": kind, "message": message}
+
+
 def token_statistics(code: str | None) -> dict:
     code = code or ""
     n = comments = inline = 0
@@ -519,7 +525,7 @@ def udfs() -> dict:
         return udf
 
     out = {name: one(f, _struct(f, *sample)) for name, (f, sample) in scalar.items()}
-    out |= {"validity": two(validity, "status string, invalid long, redefines_kind string, missing_check long, suspicious long"), "signature": two(signature, "signature string, arg_count long"), "runner_mode": one(runner_mode, "mode string, top_level_asserts long")}
+    out |= {"validity": two(validity, "status string, invalid long, redefines_kind string, missing_check long, suspicious long"), "signature": two(signature, "signature string, arg_count long"), "runner_mode": one(runner_mode, "mode string, top_level_asserts long"), "parse_check": one(parse_check, "ok boolean, kind string, message string")}
     out |= {"normalise_generated": plain(normalise_generated, "string"), "fenced": plain(fenced, "string"), "parseable_prefix": plain(parseable_prefix, "string"), "violation": plain(violation, "string"), "top_imports": plain(top_imports, "array<string>"), "is_check_harness": plain(is_check_harness, "boolean")}
     out |= {"is_full_function": pair(is_full_function, "boolean"), "prune": pair(prune, "string"), "mutate": pair(lambda c, n: mutate(c, int(n)), "string")}
     out |= {"variants": plain(variants, "array<struct<variant: long, kind: string, code: string>>"), "discover": plain(discover, "array<struct<name: string, kind: string, line: long, effective: string>>"), "sites": plain(sites, "array<struct<site: long, kind: string, line: long, col: long, old: string, new: string>>"), "mutants": plain(mutants, "array<struct<site: long, operator: string, code: string>>"), "doctests": plain(doctests, "array<struct<call: string, expected: string>>"), "segments": one(segments, "setup array<string>, asserts array<string>")}

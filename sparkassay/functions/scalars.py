@@ -100,6 +100,11 @@ def capped_ratio(n: Column, whole: float) -> Column:
     return F.round(F.least(n / F.lit(float(whole)), F.lit(1.0)), 6)
 
 
+def first_metric(*metrics: Column | str) -> Column:
+    """The first of the metrics that is there, such as branch coverage else line coverage."""
+    return F.coalesce(*map(_c, metrics))
+
+
 def percent_to_ratio(c: Column | str) -> Column:
     return F.round(_c(c) / 100, 6)
 

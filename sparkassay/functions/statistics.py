@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Mapping
 from functools import reduce
@@ -21,7 +20,7 @@ def weighted_z(df: DataFrame, weights: Mapping[str, float], name: str, by: list[
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in weights}
     aggs = [f(x).alias(f"_{k}_{c}") for c, x in filled.items() for k, f in (("m", F.avg), ("s", F.stddev_samp))]
     stats = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    joined = df.join(F.broadcast(stats), by) if by else df.crossJoin(F.broadcast(stats))
+    joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
     z = lambda c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, 0.0).otherwise((filled[c] - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
     total = reduce(lambda a, b: a + b, [z(c) * w for c, w in weights.items()])
     return joined.withColumn(name, total).drop(*[f"_{k}_{c}" for c in weights for k in "ms"])
@@ -146,23 +145,21 @@ def factorial_tests(df: DataFrame, cell: str, value: str) -> tuple[list[dict], l
     return coefficients, table
 
 
-def bootstrap_effects(df: DataFrame, cell: str, value: str, seed: str, exact_up_to: int = 6, draws: int = 2000) -> DataFrame:
-    """``effect, lo, hi``: 95 % percentile intervals over resamples of seeds (clusters), all of them where there are few.
+def bootstrap_effects(df: DataFrame, cell: str, value: str, seed: str, exact_up_to: int = 6, draws: int = 20_000, random_seed: int = 20260609) -> DataFrame:
+    """``effect, lo, hi``: 95 % percentile intervals over resamples of seeds (clusters).
 
-    Per-seed cell sums (a handful of rows) come to the driver; resamples are a table joined to them.
+    There are ``draws`` resamples, each of as many seeds as there are, chosen by hash; where all resamples of up to
+    ``exact_up_to`` seeds are fewer than that anyway, each counts once, which is what the draws tend to.
     """
     spark = df.sparkSession
     sums = df.filter(F.col(value).isNotNull()).groupBy(F.col(seed).cast("string").alias("seed"), F.col(cell).alias("cell")).agg(F.avg(value).alias("m"))
-    seeds = sorted(r["seed"] for r in sums.select("seed").distinct().collect())
-    if len(seeds) <= exact_up_to:
-        picks = list(itertools.product(seeds, repeat=len(seeds)))
-    else:
-        import random
-
-        rng = random.Random(20260609)
-        picks = [[rng.choice(seeds) for _ in seeds] for _ in range(draws)]
-    table = spark.createDataFrame([(d, s) for d, p in enumerate(picks) for s in p], "draw int, seed string")
-    drawn = table.join(F.broadcast(sums), "seed").groupBy("draw", "cell").agg(F.avg("m").alias("m"))
+    seeds = sums.select("seed").distinct().withColumn("pick", F.row_number().over(Window.orderBy("seed")) - 1)  # a row for each run
+    n = seeds.count()
+    exact = n <= exact_up_to and n**n <= draws
+    spot = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("spot")
+    resamples = spark.range(n**n if exact else draws).select(F.col("id").alias("draw"), spot)
+    pick = F.floor(F.col("draw") / F.pow(F.lit(float(n)), "spot")) if exact else F.xxhash64("draw", "spot", F.lit(random_seed))
+    drawn = resamples.withColumn("pick", F.pmod(pick, F.lit(max(n, 1))).cast("int")).join(seeds, "pick").join(sums, "seed").groupBy("draw", "cell").agg(F.avg("m").alias("m"))
     out = effects(drawn, ["draw"], "cell", "m").unpivot(["draw"], ["pos_main", "neg_main", "interaction", "hh_minus_ll"], "effect", "v")
     return out.groupBy("effect").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"))
 

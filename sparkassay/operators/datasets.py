@@ -48,10 +48,10 @@ def label_shuffled(pairs: DataFrame) -> DataFrame:
 
 
 def matched_random(pairs: DataFrame, pool: DataFrame, seed: int) -> DataFrame:
-    """The rejected side replaced by another candidate of about its length, from the same source and difficulty if possible."""
+    """The rejected side replaced by another candidate of about its length: of the same source and difficulty, else source, else any."""
     anchors = pairs.withColumn("candidate_id", F.col("rejected_candidate_id")).withColumn("n_words", S.word_count("rejected"))
     sized = pool.withColumn("n_words", S.word_count("candidate_test_code"))
-    match = R.matched_random(anchors.dropDuplicates(["candidate_id"]), sized, [["source", "difficulty_bucket"], ["source"], ["difficulty_bucket"]], "candidate_id", "n_words", seed)
+    match = R.matched_random(anchors.dropDuplicates(["candidate_id"]), sized, [["source", "difficulty_bucket"], ["source"], []], "candidate_id", "n_words", seed)
     code = sized.select(F.col("candidate_id").alias("match_id"), F.col("candidate_test_code").alias("match_code"))
     joined = pairs.join(match.select(F.col("anchor_id").alias("rejected_candidate_id"), "match_id", "level"), "rejected_candidate_id").join(code, "match_id")
     return joined.select(*[c for c in pairs.columns if c not in ("rejected", "rejected_candidate_id")], F.col("match_code").alias("rejected"), F.col("match_id").alias("rejected_candidate_id"), F.col("level").alias("match_level"))
@@ -72,7 +72,7 @@ def balanced_cells(rows: DataFrame, by: list[str], score: str, id: str, cell: st
     quotas = cell_pivot(rows, by, cell).select(*by, "quota")
     keyed = rows.withColumn("_k", R.signed_order(cell, DESCENDING, score))
     ranked = R.rank(keyed, [*by, cell], R.last("_k", id))
-    return ranked.join(F.broadcast(quotas), by).filter(F.col("rn") <= F.col("quota")).drop("_k")
+    return ranked.join(quotas, by).filter(F.col("rn") <= F.col("quota")).drop("_k")
 
 
 def fixed_budget(rows: DataFrame, budget: int, source: str, bucket: str, order: list[Column]) -> DataFrame:
@@ -80,7 +80,7 @@ def fixed_budget(rows: DataFrame, budget: int, source: str, bucket: str, order:
     counts = rows.groupBy(source).agg(F.count("*").alias("n"))
     quotas = R.largest_remainder(counts, source, "n", budget).select(source, "quota")
     turned = R.round_robin(rows, [source], bucket, order)
-    return turned.join(F.broadcast(quotas), source).filter(F.col("turn") <= F.col("quota"))
+    return turned.join(quotas, source).filter(F.col("turn") <= F.col("quota"))
 
 
 def expand_tasks(tasks: DataFrame, presets: DataFrame, variants: list[str], id: str = "task_id") -> DataFrame:
@@ -125,3 +125,55 @@ def overlap_first(df: DataFrame, anchors: DataFrame, by: list[str], key: str, sc
     have = anchors.select(key).distinct().withColumn("_o", F.lit(1))
     joined = df.join(have, key, "left").withColumn("overlap", F.coalesce("_o", F.lit(0))).drop("_o")
     return R.top_k(joined, by, R.last(("overlap", "desc"), score, id), k)
+
+
+def diagnostic_sets(left: DataFrame, right: DataFrame, candidates: DataFrame, groups: tuple[str, str], prompt: Column) -> DataFrame:
+    """Preference rows of two sets of pairs, cut to the smaller number in order of their ids, so that only one thing differs.
+
+    Candidates are looked up by id (of repeated ids the first by its code); pairs that miss one, or a side's text, go after the cut.
+    """
+    pairs = [df.select("task_id", "candidate_id_pos", "candidate_id_neg") for df in (left, right)]
+    keys = R.last("task_id", "candidate_id_pos", "candidate_id_neg")
+    n = min(df.count() for df in pairs)
+    if not n:
+        raise ValueError("one of the sets has no pairs")
+    cut = pairs[0].orderBy(*keys).limit(n).withColumn("group", F.lit(groups[0])).unionByName(pairs[1].orderBy(*keys).limit(n).withColumn("group", F.lit(groups[1])))
+    known = R.first_per_key(candidates, ["candidate_id"], R.last("candidate_test_code"))
+    neg = known.select(F.col("candidate_id").alias("candidate_id_neg"), F.col("candidate_test_code").alias("candidate_test_code_neg"))
+    pos = known.drop("task_id").withColumnsRenamed({"candidate_id": "candidate_id_pos", "candidate_test_code": "candidate_test_code_pos"})
+    return preference_rows(cut.join(pos, "candidate_id_pos").join(neg, "candidate_id_neg"), F.col("group"), prompt)
+
+
+def factorial_rows(cells: dict[str, DataFrame], prompt: Column) -> DataFrame:
+    """Preference rows of the factorial's cells, each named by its group and the kind of its negatives."""
+    out = None
+    for group, pairs in cells.items():
+        one = preference_rows(pairs, group, prompt).withColumn("neg_kind", F.lit("strong" if group[1] == "H" else "ordinary"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def ordinary_negatives(rows: DataFrame) -> DataFrame:
+    """Rejected sides that may replace others: of ordinary kind and not blank, with their length in words."""
+    return rows.filter((F.col("neg_kind") == "ordinary") & (F.trim("rejected") != "")).select("rejected", "rejected_candidate_id", "task_id", "source", "difficulty_bucket", F.col("group").alias("cell"), S.word_count("rejected").alias("length_words"))
+
+
+def candidate_records(generated: DataFrame, run_id: str, version: str) -> DataFrame:
+    """Records of generated candidates: ids, provenance, decoding, the code and its sizes. A missing text is an empty one."""
+    code = shape.text("candidate_test_code")
+    return generated.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(version).alias("script_version"),
+        shape.candidate_id(F.col("task_id"), F.col("preset"), F.col("generator_tag"), index=F.col("candidate_index")).alias("candidate_id"),
+        "task_id",
+        "source",
+        "difficulty_bucket",
+        shape.group_key(F.col("source"), F.col("difficulty_bucket")).alias("source_task_group"),
+        F.lit("model_generated").alias("test_source_type"),
+        F.col("preset").alias("candidate_test_origin_detail"),
+        F.col("preset").alias("decoding_config_name"),
+        "candidate_index",
+        code.alias("candidate_test_code"),
+        F.length(code).alias("candidate_char_len"),
+        S.nonblank_lines(code).alias("candidate_nonempty_line_count"),
+    )

@@ -58,6 +58,40 @@ def usable_eval(df: DataFrame) -> Column:
     return all_of(usable_exec(), status_or_metric(df, "coverage_status", "line_coverage"), status_or_metric(df, "mutation_status", "mutation_score"), F.col("mutation_unavailable") == 0)
 
 
+def usable_text() -> Column:
+    """Usable by execution, with code and a prompt that aren't blank."""
+    return usable_exec() & text_ready()
+
+
+#: Flags that count as logic signals of a natural negative.
+LOGIC_SIGNALS = tuple(NEGATIVE_FLAGS)
+
+
+def natural_negative(df: DataFrame, signals: tuple[str, ...] = LOGIC_SIGNALS) -> Column:
+    """Usable by evaluation, with at least one logic signal."""
+    return usable_eval(df) & (signal_count(*signals) >= 1)
+
+
+def programmatic_valid(df: DataFrame) -> Column:
+    """The five flags of a usable programmatic negative; what is missing or no number counts as 0, so an unknown pass fails."""
+    value = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    return all_of(*[value(c) == 1 for c in ("syntax_pass", "execution_pass")], *[value(c) == 0 for c in ("invalid_candidate_flag", "redefines_target_flag", "mutation_unavailable")])
+
+
+def select_cells(df: DataFrame, tiers: tuple[str, ...], sources: tuple[str, ...]) -> DataFrame:
+    """Pairs whose positive is of one of the tiers and whose negative is of one of the sources."""
+    return df.filter(F.col("pos_tier").isin(*tiers) & F.col("neg_source").isin(*sources))
+
+
+def select_runs(df: DataFrame, groups: tuple[str, ...], split: str) -> DataFrame:
+    return df.filter(F.col("group").isin(*groups) & (F.col("split") == split))
+
+
+def owned(df: DataFrame, project: str, user: str) -> DataFrame:
+    """A user's rows in a project."""
+    return df.filter((F.col("project") == project) & (F.col("user") == user))
+
+
 def zero(*flags: str) -> Column:
     return all_of(*[F.coalesce(F.col(c), F.lit(0)) == 0 for c in flags])
 
@@ -130,6 +164,13 @@ def attach(pairs: DataFrame, surface: DataFrame, columns: list[str], id: str = "
     return pairs
 
 
+def attach_metadata(pairs: DataFrame, candidates: DataFrame, columns: list[str], id: str = "candidate_id", task: str = "task_id") -> DataFrame:
+    """Columns of both sides' candidates: the positive's by id and task, the negative's by id alone, as its task may be spelt otherwise."""
+    pos = candidates.select(F.col(id).alias(f"{id}_pos"), task, *[F.col(c).alias(f"{c}_pos") for c in columns])
+    neg = candidates.select(F.col(id).alias(f"{id}_neg"), *[F.col(c).alias(f"{c}_neg") for c in columns])
+    return pairs.join(pos, [f"{id}_pos", task], "left").join(neg, f"{id}_neg", "left")
+
+
 @dataclass(frozen=True)
 class Surface:
     """Thresholds of the pair filter; all are exceeded strictly."""

@@ -1,15 +1,21 @@
 """Ranks, top-k, sampling, splitting and quotas.
 
-Random choices order rows by ``sha1(seed|id)``, so they are the same on every cluster and in SQL. All ranks are within
-partitions of a key; nothing is ranked over a whole table except reports of bounded size.
+Random choices order rows by ``sha1(seed|id)``, so they are the same on every cluster and in SQL. Ranks within strata that
+hold a share of the table (sources, difficulties, all rows) are counted in pieces: ``spread_rank``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Pieces that a stratum is cut into where it may be too large to be sorted by one task.
+PIECES = 64
 
 
 def last(*cols: tuple[str, str] | str) -> list[Column]:
@@ -30,11 +36,48 @@ def first_per_key(df: DataFrame, by: list[str], order: list[Column]) -> DataFram
     return top_k(df, by, order, 1).drop("rn")
 
 
-def thirds(df: DataFrame, by: list[str], order: list[Column], name: str = "difficulty_bucket") -> DataFrame:
+def join_strata(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their stratum, nulls being a stratum like any other."""
+    if not by:
+        return df.crossJoin(small)  # one row
+    renamed = small.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    return df.join(renamed, reduce(and_, [df[c].eqNullSafe(renamed[f"_by_{c}"]) for c in by])).drop(*[f"_by_{c}" for c in by])
+
+
+def spread_rank(df: DataFrame, by: list[str], order: list[Column], piece: Column, rank: str = "rn", size: str = "n") -> DataFrame:
+    """Rank and size of each row's stratum without sorting a stratum in one task.
+
+    ``piece`` cuts the order into consecutive pieces: a number that doesn't fall along it and depends on the row alone.
+    Rows are ranked within their piece; what lies before it is a sum over the pieces' counts.
+    """
+    cut = df.withColumn("_piece", piece)
+    counts = cut.groupBy(*by, "_piece").agg(F.count("*").alias("_rows"))
+    part = Window.partitionBy(*by)  # a row for each piece
+    first = counts.select(*by, "_piece", F.coalesce(F.sum("_rows").over(part.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_rows").over(part).alias(size))
+    ranked = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)))
+    return join_strata(ranked, first, [*by, "_piece"]).withColumn(rank, F.col("_at") + F.col("_before")).drop("_piece", "_at", "_before")
+
+
+def ranked_strata(df: DataFrame, by: list[str], order: list[tuple[str, str] | str], spread: bool = True) -> DataFrame:
+    """``rn`` and ``n`` by the named columns, nulls last.
+
+    With ``spread`` strata are cut into pieces of equal width in the leading column, which has to be a number to gain from it.
+    """
+    name, down = (order[0], False) if isinstance(order[0], str) else (order[0][0], order[0][1] == "desc")
+    if not (spread and isinstance(df.schema[name].dataType, T.NumericType)):
+        part = Window.partitionBy(*by)
+        return df.withColumns({"rn": F.row_number().over(part.orderBy(*last(*order))), "n": F.count("*").over(part)})
+    value = F.col(name).cast("double")
+    ends = join_strata(df, df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), by)
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PIECES)).otherwise(F.lit(0))
+    piece = F.coalesce(PIECES - place if down else place, F.lit(PIECES + 1))
+    return spread_rank(ends, by, last(*order), piece).drop("_lo", "_hi")
+
+
+def thirds(df: DataFrame, by: list[str], order: list[tuple[str, str] | str], name: str = "difficulty_bucket") -> DataFrame:
     """easy, medium, hard by the middle of each row's rank within its partition."""
-    part = Window.partitionBy(*by)
-    place = (F.row_number().over(part.orderBy(*order)) - 0.5) / F.count("*").over(part)
-    return df.withColumn("_p", place).withColumn(name, F.when(F.col("_p") < 1 / 3, "easy").when(F.col("_p") < 2 / 3, "medium").otherwise("hard")).drop("_p")
+    place = (F.col("rn") - 0.5) / F.col("n")
+    return ranked_strata(df, by, order).withColumn(name, F.when(place < 1 / 3, "easy").when(place < 2 / 3, "medium").otherwise("hard")).drop("rn", "n")
 
 
 def ends(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -46,15 +89,15 @@ def ends(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame
 
 
 def nearest_median(df: DataFrame, by: list[str], value: str, id: str, k: int) -> DataFrame:
-    part = Window.partitionBy(*by)
-    with_mid = df.withColumn("mid", F.percentile(value, F.lit(0.5)).over(part)).withColumn("gap", F.round(F.abs(F.col(value) - F.col("mid")), 9))
+    """The ``k`` rows of each partition nearest its median ``mid``, which is aggregated first: one row for each partition."""
+    mids = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("mid"))
+    with_mid = join_strata(df, mids, by).withColumn("gap", F.round(F.abs(F.col(value) - F.col("mid")), 9))
     return top_k(with_mid, by, last("gap", id), k)
 
 
-def halves(df: DataFrame, by: list[str], order: list[Column], name: str = "tier") -> DataFrame:
-    """The first ceil(n/2) of each partition are strong, the rest ordinary; a single row is ``singleton``."""
-    part = Window.partitionBy(*by)
-    ranked = df.withColumns({"rn": F.row_number().over(part.orderBy(*order)), "n": F.count("*").over(part)})
+def halves(df: DataFrame, by: list[str], order: list[tuple[str, str] | str], name: str = "tier", spread: bool = False) -> DataFrame:
+    """The first ceil(n/2) of each partition are strong, the rest ordinary; a single row is ``singleton``. Tasks are small partitions; ``spread`` is for large ones."""
+    ranked = ranked_strata(df, by, order, spread)
     return ranked.withColumn(name, F.when(F.col("n") == 1, "singleton").when(F.col("rn") <= F.ceil(F.col("n") / 2), "strong").otherwise("ordinary"))
 
 
@@ -90,15 +133,19 @@ def sample(df: DataFrame, by: list[str], id: str, k: int, seed: int) -> DataFram
     return top_k(df.withColumn("_h", shuffle_key(seed, id)), by, last("_h", id), k).drop("_h")
 
 
+def hash_piece(seed: int | str, id: Column | str) -> Column:
+    """The first two digits of the shuffle key: 256 consecutive pieces of a hash order, of about the same size."""
+    return F.conv(F.substring(shuffle_key(seed, id), 1, 2), 16, 10).cast("int")
+
+
 def shuffled(df: DataFrame, id: str, seed: int, name: str = "pos") -> DataFrame:
-    """A total order by hash; for reports and packs, which are small."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(shuffle_key(seed, id), F.col(id))))
+    """A total order by hash."""
+    return spread_rank(df, [], [shuffle_key(seed, id), F.col(id)], hash_piece(seed, id), name, "_n").drop("_n")
 
 
 def split(df: DataFrame, by: list[str], id: str, seed: int, ratios: Mapping[str, float]) -> DataFrame:
     """``split`` by hash order within each stratum: floors of the shares, the last split takes the remainder."""
-    part = Window.partitionBy(*by)
-    ranked = df.withColumns({"_rn": F.row_number().over(part.orderBy(shuffle_key(seed, id), F.col(id))), "_n": F.count("*").over(part)})
+    ranked = spread_rank(df, by, [shuffle_key(seed, id), F.col(id)], hash_piece(seed, id), "_rn", "_n")
     names, edge, case = list(ratios), F.lit(0), None
     for s in names[:-1]:
         edge = edge + F.floor(F.col("_n") * F.lit(float(ratios[s])))
@@ -116,7 +163,7 @@ def quota_report(df: DataFrame, taken: DataFrame, dims: DataFrame, by: list[str]
 
 def all_cells(df: DataFrame, a: str, b: str) -> DataFrame:
     """All combinations of the values of two category columns."""
-    return df.select(a).distinct().crossJoin(F.broadcast(df.select(b).distinct()))
+    return df.select(a).distinct().crossJoin(df.select(b).distinct())
 
 
 def largest_remainder(counts: DataFrame, name: str, n: str, total: int) -> DataFrame:
@@ -144,26 +191,47 @@ def balance(left: DataFrame, right: DataFrame, order: list[Column]) -> tuple[Dat
     return left.orderBy(*order).limit(n), right.orderBy(*order).limit(n)
 
 
+def _nearest(anchors: DataFrame, pool: DataFrame, by: list[str], near: int) -> DataFrame:
+    """For each anchor (``anchor_id, _v`` and ``by``) the ``near`` other pool rows (``_id, _v`` and ``by``) with the nearest value, ties to the smaller id.
+
+    In order of value the nearest lie around the anchor, so only the few rows on either side of its place are joined to it.
+    """
+    below = Window.partitionBy(*by).orderBy("_v", "_kind", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*by).orderBy("_v", "_id")
+    rows = pool.withColumn("_kind", F.lit(0)).unionByName(anchors.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    placed = rows.withColumn("_at", F.sum(1 - F.col("_kind")).over(below))
+    sides = [
+        (placed.filter("_kind = 0").select(*by, "_id", F.col("_v").alias("_pv"), "_at"), F.sequence(F.col("_at") - near, F.col("_at"))),
+        (pool.withColumn("_at", F.row_number().over(above).cast("long")).select(*by, "_id", F.col("_v").alias("_pv"), "_at"), F.sequence(F.col("_at") + 1, F.col("_at") + near + 1)),
+    ]
+    found = None
+    for side, places in sides:
+        asked = placed.filter("_kind = 1").select(*by, "anchor_id", "_v", F.explode(places).alias("_at"))
+        one = asked.join(side, [*by, "_at"]).filter(F.col("anchor_id") != F.col("_id")).select("anchor_id", "_id", F.abs(F.col("_pv") - F.col("_v")).alias("gap"))
+        found = one if found is None else found.unionByName(one)
+    return top_k(found, ["anchor_id"], last("gap", "_id"), near)
+
+
 def matched_random(anchors: DataFrame, pool: DataFrame, levels: list[list[str]], id: str, value: str, seed: int, near: int = 5) -> DataFrame:
     """For each anchor another row of the pool: of the ``near`` ones with the nearest ``value``, one by hash.
 
-    ``levels`` lists the columns that have to agree, strictest first; the first level with any candidate counts. Each
-    level joins on its columns and a value bucket's neighbours would bound it further; ranks prune to ``near`` rows.
+    ``levels`` lists the columns that have to agree, strictest first and perhaps none at last; the first level with any
+    candidate counts. Rows without an id, a value or a column of the level take no part in it. Anchors have distinct ids.
     """
-    a = anchors.select(F.col(id).alias("anchor_id"), F.col(value).alias("_av"), *[F.col(c).alias(f"_a_{c}") for c in {c for lv in levels for c in lv}])
+    dims = sorted({c for level in levels for c in level})
+    have = lambda df, names: df.filter(reduce(and_, [F.col(c).isNotNull() for c in names]))
+    left = have(anchors.select(F.col(id).alias("anchor_id"), F.col(value).alias("_v"), *dims), ["anchor_id", "_v"])
+    rows = have(pool.select(F.col(id).alias("_id"), F.col(value).alias("_v"), *dims), ["_id", "_v"])
     out = None
-    left = a
     for n, level in enumerate(levels):
-        cond = F.col("anchor_id") != F.col(id)
-        for c in level:
-            cond = cond & (F.col(f"_a_{c}") == F.col(c))
-        found = left.join(pool, cond).withColumns({"gap": F.abs(F.col(value) - F.col("_av")), "level": F.lit(n)})
-        best = top_k(found, ["anchor_id"], last("gap", id), near)
+        by = level or ["_all"]
+        all_rows = lambda df: df.select("_v", df.columns[0], *level) if level else df.select("_v", df.columns[0], F.lit(0).alias("_all"))
+        best = _nearest(have(all_rows(left), by), have(all_rows(rows), by), by, near).withColumn("level", F.lit(n))
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select("anchor_id").distinct(), "anchor_id", "left_anti") if n + 1 < len(levels) else left
     part = Window.partitionBy("anchor_id")
     picked = out.withColumn("_n", F.count("*").over(part)).withColumn("_pick", F.pmod(F.conv(F.substring(shuffle_key(seed, "anchor_id"), 1, 8), 16, 10).cast("long"), F.col("_n")) + 1)
-    return picked.filter("rn = _pick").select("anchor_id", F.col(id).alias("match_id"), "gap", "level")
+    return picked.filter("rn = _pick").select("anchor_id", F.col("_id").alias("match_id"), "gap", "level")
 
 
 def running_mean(df: DataFrame, by: list[str], order: list[Column], value: str, n: int = 6, name: str = "recent_mean") -> DataFrame:

@@ -15,6 +15,15 @@ def value_counts(df: DataFrame, c: str, na: str = "NA") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(na)).alias(c)).agg(F.count("*").alias("n"))
 
 
+def count_by(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
+    return df.groupBy(*by).agg(F.count("*").alias(name))
+
+
+def rates(df: DataFrame, by: list[str], flags: Iterable[str], metrics: Iterable[str]) -> DataFrame:
+    """Rows of each group, the rate of each 0/1 flag, and each metric's mean over the rows that have it."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_rate") for c in flags], *[F.avg(c).alias(f"{c}_mean") for c in metrics])
+
+
 def multi_level_counts(df: DataFrame, dims: list[str]) -> DataFrame:
     """Counts at every combination of levels in one pass; ``level`` is the grouping id (bits of rolled-up columns)."""
     return df.cube(*dims).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
@@ -173,3 +182,70 @@ def report_lines(df: DataFrame, width: int = 58) -> DataFrame:
     """A project report as wrapped text lines with their position, a target after the other."""
     text = F.concat_ws(" ", F.col("target"), F.format_string("n=%d score=%.2f", "n", "mean_score"))
     return targets(df, top=None).select("target", F.posexplode(S.wrap(text, width)).alias("line_no", "line"))
+
+
+def distribution(df: DataFrame, kind: str, dims: tuple[str, ...], task: str, na: str = "NA") -> DataFrame:
+    """``kind, field, value, n``: rows, distinct tasks, and counts by each dimension (missing as ``na``), from one pass of grouping sets."""
+    filled = df.select(F.col(task).alias("_task"), *[F.coalesce(F.col(c).cast("string"), F.lit(na)).alias(c) for c in dims])
+    counts = filled.groupingSets([[c] for c in dims], *dims).agg(*[F.grouping(c).alias(f"_{c}") for c in dims], F.count("*").alias("n"))
+    pick = lambda f: F.coalesce(*[F.when(F.col(f"_{c}") == 0, f(c)) for c in dims])
+    by = counts.select(pick(F.lit).alias("field"), pick(F.col).alias("value"), "n")
+    whole = filled.agg(F.count("*").alias("rows"), F.count_distinct("_task").alias("unique_tasks")).unpivot([], ["rows", "unique_tasks"], "field", "n").select("field", F.lit(None).cast("string").alias("value"), "n")
+    return whole.unionByName(by).select(F.lit(kind).alias("kind"), "field", "value", "n")
+
+
+def status_counters(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``stage, status, n``: the counters of a manifest, for each stage its table and status column; a missing status is ``None``."""
+    out = None
+    for stage, (df, c) in tables.items():
+        one = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("None")).alias("status")).agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "status", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Stages of an evaluation with where they begin and end on the progress bar and how long they take: fixed values.
+STAGES = (("prepare", 1, 8, 2.0), ("generate", 8, 43, 3.0), ("execute", 43, 60, 5.0), ("evidence", 60, 84, 18.0), ("diagnose", 84, 94, 3.0), ("report", 94, 99, 2.0))
+
+
+def job_status(jobs: DataFrame, stages: tuple[tuple[str, int, int, float], ...] = STAGES) -> DataFrame:
+    """``id, status, stage, progress, eta`` of jobs (``id, status, stage, stage_elapsed``): progress within the stage up to 92 %, and the rest of it plus the later ones.
+
+    An unknown stage counts as the first; a completed or failed job is at 100 with nothing left.
+    """
+    cases = {"start": lambda k: stages[k][1], "end": lambda k: stages[k][2], "seconds": lambda k: stages[k][3], "later": lambda k: sum(x[3] for x in stages[k + 1 :]), "name": lambda k: stages[k][0]}
+
+    def of(what: str) -> Column:
+        case = F
+        for k, x in enumerate(stages):
+            case = case.when(F.col("stage") == x[0], F.lit(cases[what](k)))
+        return case.otherwise(F.lit(cases[what](0)))
+
+    over = F.col("status").isin("completed", "failed")
+    spent = F.greatest(F.col("stage_elapsed"), F.lit(0.0))
+    share = F.least(F.lit(0.92), spent / F.greatest(of("seconds"), F.lit(1.0)))
+    eta = F.greatest(of("seconds") - spent, F.lit(0.0)) + of("later")
+    return jobs.select(
+        "id",
+        "status",
+        F.when(F.col("status") == "completed", "done").when(F.col("status") == "failed", "failed").otherwise(of("name")).alias("stage"),
+        F.when(over, 100).otherwise(F.bround(of("start") + (of("end") - of("start")) * share)).cast("int").alias("progress"),
+        F.when(over, 0).otherwise(F.bround(eta)).cast("int").alias("eta"),
+    )
+
+
+def append_evaluations(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with new evaluations (a batch's rows, numbered by ``seq`` from 1) under the ids that follow its largest."""
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    numbered = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("seq")).drop("_top", "seq")
+    return old.unionByName(numbered, allowMissingColumns=True)
+
+
+def recent(df: DataFrame, n: int = 6) -> DataFrame:
+    """The latest evaluations."""
+    return df.orderBy(F.desc("id")).limit(n)
+
+
+def paged(df: DataFrame, key: str, text: str, width: int = 58, lines: int = 52) -> DataFrame:
+    """``key, page, line_no, line``: a text's wrapped lines on pages of ``lines``."""
+    cut = df.select(key, F.posexplode(S.wrap(text, width)).alias("_n", "line"))
+    return cut.select(key, F.floor(F.col("_n") / lines).cast("int").alias("page"), F.pmod("_n", F.lit(lines)).cast("int").alias("line_no"), "line")

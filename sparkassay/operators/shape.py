@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkassay.functions import scalars as S
 
@@ -107,6 +108,19 @@ def evidence(c: Column | str, limit: int = 1200) -> Column:
     return S.clip(c, limit)
 
 
+def normal_evidence(value: Column, kind: T.DataType, limit: int = 1200) -> Column:
+    """Evidence of any type: texts trimmed and clipped, within arrays, maps and structs too; blank texts are null, the rest stays."""
+    if isinstance(kind, T.StringType):
+        return S.clip(value, limit)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: normal_evidence(x, kind.elementType, limit))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: normal_evidence(x, kind.valueType, limit))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[normal_evidence(value[f.name], f.dataType, limit).alias(f.name) for f in kind]))
+    return value
+
+
 def guard(c: Column | str, allowed: Iterable[str], other: str = "other") -> Column:
     x = F.col(c) if isinstance(c, str) else c
     return F.when(x.isin(*allowed), x).otherwise(other)

@@ -120,16 +120,16 @@ def _(spark, sf):
     return p.select("conv_id", "turn_pos", "turn_neg", (F.col("n_neg") - F.col("n_pos")).cast("long").alias("delta"), F.round(S.ratio(F.col("n_pos"), F.col("n_neg")), 6).alias("ratio"))
 
 
-_SURFACE = """s AS (SELECT doc_id, source, quality, CASE WHEN doc_id % 13 <> 0 THEN 1 END AS ok, CAST(n_chars / 5 AS BIGINT) AS tokens, doc_id % 9 AS asserts, doc_id % 4 AS fns, (doc_id % 10) / 20.0::DOUBLE AS comm, (doc_id % 8) / 16.0::DOUBLE AS dens, (doc_id % 6)::DOUBLE AS struct_c FROM documents JOIN labels USING (doc_id)),
+_SURFACE = """s AS (SELECT doc_id, doc_id // 40 AS task, source, quality, CASE WHEN doc_id % 13 <> 0 THEN 1 END AS ok, CAST(n_chars / 5 AS BIGINT) AS tokens, doc_id % 9 AS asserts, doc_id % 4 AS fns, (doc_id % 10) / 20.0::DOUBLE AS comm, (doc_id % 8) / 16.0::DOUBLE AS dens, (doc_id % 6)::DOUBLE AS struct_c FROM documents JOIN labels USING (doc_id)),
     p AS (SELECT a.doc_id AS pos, b.doc_id AS neg, a.source, CASE WHEN b.doc_id % 2 = 0 THEN 'natural' ELSE 'program' END AS neg_source,
       CASE WHEN coalesce(a.ok <> 1, true) OR coalesce(b.ok <> 1, true) THEN 1 ELSE 0 END AS h1, CASE WHEN coalesce(greatest(a.tokens, b.tokens)::DOUBLE / nullif(least(a.tokens, b.tokens), 0) > 2.0, false) AND abs(a.tokens - b.tokens) > 80 THEN 1 ELSE 0 END AS h2,
       CASE WHEN abs(a.asserts - b.asserts) > 4 THEN 1 ELSE 0 END AS h3, CASE WHEN abs(a.fns - b.fns) > 2 THEN 1 ELSE 0 END AS h4, CASE WHEN abs(a.comm - b.comm) > 0.25 THEN 1 ELSE 0 END AS m1, CASE WHEN abs(a.dens - b.dens) > 0.25 THEN 1 ELSE 0 END AS m2, CASE WHEN abs(a.struct_c - b.struct_c) > 2 THEN 1 ELSE 0 END AS m3
-      FROM s a JOIN s b ON a.source = b.source AND a.quality = 1 AND b.quality = 0)"""
+      FROM s a JOIN s b ON a.task = b.task AND a.quality = 1 AND b.quality = 0)"""
 
 
 def _surface_pairs(spark, sf):
     i = F.col("doc_id")
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(i.alias("candidate_id"), F.col("source").alias("task_id"), "quality")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(i.alias("candidate_id"), F.floor(i / 40).alias("task_id"), "source", "quality")
     feats = table(spark, sf, "documents").select(i.alias("candidate_id"), F.when(i % 13 != 0, 1).alias("execution_pass"), F.lit(1).alias("syntax_pass"), F.expr("CAST(round(n_chars / 5) AS BIGINT)").alias("token_length"), (i % 9).alias("num_asserts"), (i % 4).alias("num_test_functions"), ((i % 10) / 20.0).alias("comment_ratio"), ((i % 8) / 16.0).alias("assert_density"), (i % 6).cast("double").alias("surface_structural_complexity"))
     pairs = PL.pairs(d.filter("quality = 1").drop("quality"), d.filter("quality = 0").drop("quality"))
     pairs = PL.attach(pairs, feats, [c for c in feats.columns if c != "candidate_id"])
@@ -143,8 +143,8 @@ def _(spark, sf):
 
 @query("agg_12_surface_summary", f"WITH {_SURFACE}, k AS (SELECT *, CASE WHEN h1 + h2 + h3 + h4 = 0 AND m1 + m2 + m3 <= 1 THEN 1 ELSE 0 END AS keep FROM p) SELECT source, neg_source, count(*) AS n_before, CAST(sum(keep) AS BIGINT) AS n_after, round(avg(keep), 6) AS keep_rate, round(avg(h2), 6) AS tokens_rate, round(avg(m3), 6) AS structure_rate FROM k GROUP BY ALL")
 def _(spark, sf):
-    s = RP.pair_summary(_surface_pairs(spark, sf), ["task_id", "neg_source"], ["hard_fail_tokens", "mild_fail_structure"])
-    return s.select(F.col("task_id").alias("source"), "neg_source", "n_before", "n_after", F.round("keep_rate", 6).alias("keep_rate"), F.round("hard_fail_tokens_rate", 6).alias("tokens_rate"), F.round("mild_fail_structure_rate", 6).alias("structure_rate"))
+    s = RP.pair_summary(_surface_pairs(spark, sf), ["source_pos", "neg_source"], ["hard_fail_tokens", "mild_fail_structure"])
+    return s.select(F.col("source_pos").alias("source"), "neg_source", "n_before", "n_after", F.round("keep_rate", 6).alias("keep_rate"), F.round("hard_fail_tokens_rate", 6).alias("tokens_rate"), F.round("mild_fail_structure_rate", 6).alias("structure_rate"))
 
 
 @query(
@@ -163,15 +163,18 @@ def _(spark, sf):
 
 @query(
     "smp_07_matched_random",
-    """WITH a AS (SELECT doc_id AS anchor_id, lang, source, n_chars AS av FROM documents WHERE doc_id % 40 = 0),
-    l0 AS (SELECT a.anchor_id, d.doc_id, abs(d.n_chars - av) AS gap, 0 AS level FROM a JOIN documents d ON a.lang = d.lang AND a.source = d.source AND a.anchor_id <> d.doc_id),
-    l1 AS (SELECT a.anchor_id, d.doc_id, abs(d.n_chars - av) AS gap, 1 AS level FROM a JOIN documents d ON a.lang = d.lang AND a.anchor_id <> d.doc_id WHERE a.anchor_id NOT IN (SELECT anchor_id FROM l0)),
-    t AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY gap, doc_id) AS rn FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1)), n AS (SELECT *, count(*) OVER (PARTITION BY anchor_id) AS n FROM t WHERE rn <= 5)
+    """WITH d AS (SELECT doc_id, n_chars, CASE WHEN doc_id = 0 THEN 'rare' ELSE lang END AS lang, CASE WHEN n_chars > 12000 THEN 'long ' || doc_id ELSE source END AS source FROM documents WHERE n_chars IS NOT NULL),
+    a AS (SELECT doc_id AS anchor_id, lang, source, n_chars AS av FROM d),
+    l0 AS (SELECT a.anchor_id, d.doc_id, abs(d.n_chars - av) AS gap, 0 AS level FROM a JOIN d ON a.lang = d.lang AND a.source = d.source AND a.anchor_id <> d.doc_id),
+    l1 AS (SELECT a.anchor_id, d.doc_id, abs(d.n_chars - av) AS gap, 1 AS level FROM a JOIN d ON a.lang = d.lang AND a.anchor_id <> d.doc_id WHERE a.anchor_id NOT IN (SELECT anchor_id FROM l0)),
+    l2 AS (SELECT a.anchor_id, d.doc_id, abs(d.n_chars - av) AS gap, 2 AS level FROM a JOIN d ON a.anchor_id <> d.doc_id WHERE a.anchor_id NOT IN (SELECT anchor_id FROM l0 UNION ALL SELECT anchor_id FROM l1)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY gap, doc_id) AS rn FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)), n AS (SELECT *, count(*) OVER (PARTITION BY anchor_id) AS n FROM t WHERE rn <= 5)
     SELECT anchor_id, doc_id AS match_id, gap, level FROM n WHERE rn = CAST('0x' || substr(sha1('5|' || anchor_id), 1, 8) AS BIGINT) % n + 1""",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    return R.matched_random(d.filter("doc_id % 40 = 0"), d, [["lang", "source"], ["lang"]], "doc_id", "n_chars", 5)
+    c = F.col
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", F.when(c("doc_id") == 0, "rare").otherwise(c("lang")).alias("lang"), F.when(c("n_chars") > 12000, F.concat(F.lit("long "), "doc_id")).otherwise(c("source")).alias("source"))
+    return R.matched_random(d, d, [["lang", "source"], ["lang"], []], "doc_id", "n_chars", 5)
 
 
 # --- reports -----------------------------------------------------------------------------------------------------------
@@ -268,11 +271,11 @@ def _(spark, sf):
 
 @query(
     "smp_11_balanced_cells",
-    f"""WITH o AS (SELECT *, {_CELL} AS cell FROM orders WHERE o_orderkey % 10 = 0), n AS (SELECT o_orderstatus, cell, count(*) AS n FROM o GROUP BY ALL), q AS (SELECT o_orderstatus, CASE WHEN count(*) = 4 THEN min(n) ELSE 0 END AS quota FROM n GROUP BY 1),
+    f"""WITH o AS (SELECT *, {_CELL} AS cell FROM orders), n AS (SELECT o_orderstatus, cell, count(*) AS n FROM o GROUP BY ALL), q AS (SELECT o_orderstatus, CASE WHEN count(*) = 4 THEN min(n) ELSE 0 END AS quota FROM n GROUP BY 1),
     r AS (SELECT o_orderkey, o_orderstatus, cell, row_number() OVER (PARTITION BY o_orderstatus, cell ORDER BY CASE WHEN cell IN ('HL', 'HH') THEN -o_totalprice ELSE o_totalprice END, o_orderkey) AS rn FROM o) SELECT o_orderkey, o_orderstatus, cell, rn FROM r JOIN q USING (o_orderstatus) WHERE rn <= quota""",
 )
 def _(spark, sf):
-    out = D.balanced_cells(_cells(spark, sf).filter("o_orderkey % 10 = 0"), ["o_orderstatus"], "o_totalprice", "o_orderkey")
+    out = D.balanced_cells(_cells(spark, sf), ["o_orderstatus"], "o_totalprice", "o_orderkey")
     return out.select("o_orderkey", "o_orderstatus", "cell", F.col("rn").cast("long").alias("rn"))
 
 
@@ -465,7 +468,7 @@ def _(spark, sf):
 
 @query("sta_10_spearman_p")
 def _(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderkey < 200").select(F.col("o_orderstatus").alias("g"), F.col("o_custkey").alias("a"), F.col("o_totalprice").alias("b"))
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("g"), F.col("o_custkey").alias("a"), F.col("o_totalprice").alias("b"))
     return ST.spearman(o, ["g"], "a", "b")
 
 

@@ -201,7 +201,7 @@ def _(spark, sf):
     FROM (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 0.5) / count(*) OVER (PARTITION BY o_orderstatus) AS p FROM orders)""",
 )
 def _(spark, sf):
-    return R.thirds(table(spark, sf, "orders"), ["o_orderstatus"], R.last("o_orderkey"), "bucket").select("o_orderkey", "bucket")
+    return R.thirds(table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderkey"], "bucket").select("o_orderkey", "bucket")
 
 
 @query(
@@ -277,7 +277,7 @@ def _(spark, sf):
     (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""",
 )
 def _(spark, sf):
-    return R.halves(table(spark, sf, "orders"), ["o_custkey"], R.last(("o_totalprice", "desc"), "o_orderkey")).select("o_orderkey", "o_custkey", "tier")
+    return R.halves(table(spark, sf, "orders"), ["o_custkey"], [("o_totalprice", "desc"), "o_orderkey"]).select("o_orderkey", "o_custkey", "tier")
 
 
 @query(
@@ -298,9 +298,9 @@ def _(spark, sf):
     return b.select("item_id", F.when(F.col("swapped"), "rejected").otherwise("chosen").alias("label"), "swapped")
 
 
-@query("win_09_cycle", "SELECT i AS slot, item_id FROM range(100) t(i) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark WHERE item_id < 7) ON i % (SELECT count(*) FROM benchmark WHERE item_id < 7) = p")
+@query("win_09_cycle", "SELECT i AS slot, item_id FROM range(100) t(i) JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) ON i % (SELECT count(*) FROM benchmark) = p")
 def _(spark, sf):
-    b = table(spark, sf, "benchmark").filter("item_id < 7").select("item_id").withColumn("p", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long"))
+    b = R.spread_rank(table(spark, sf, "benchmark").select("item_id"), [], [F.col("item_id")], F.floor(F.col("item_id") / 1000)).withColumn("p", F.col("rn") - 1)
     return R.cycle(b, "p", b.count(), 100).select("slot", "item_id")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -21,8 +20,7 @@ from sparkassay.sources import files as FS
 
 def _place(spark) -> str:
     """A fresh folder under the shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{FS.shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------------------------------------------------
@@ -56,7 +54,7 @@ def _(spark, sf):
 
 @query("src_06_record_index", "SELECT r_name, r_regionkey + 1 AS raw_record_index FROM region")
 def _(spark, sf):
-    return FS.with_record_index(table(spark, sf, "region").orderBy("r_regionkey")).select("r_name", F.col("raw_record_index").cast("int").alias("raw_record_index"))
+    return FS.with_record_index(table(spark, sf, "region")).select("r_name", F.col("raw_record_index").cast("int").alias("raw_record_index"))
 
 
 @query("src_07_csv", "SELECT page_id, url, html FROM pages")
@@ -83,9 +81,9 @@ def _(spark, sf):
 @query("src_10_summaries", "SELECT 'r' || n_regionkey AS run_folder, count(*) AS n FROM nation GROUP BY 1")
 def _(spark, sf):
     at = _place(spark)
-    for r in table(spark, sf, "nation").groupBy("n_regionkey").count().collect():
-        FS.write_report(spark, {"n": r["count"]}, f"{at}/r{r['n_regionkey']}/summary.json")
-    return FS.read_summaries(spark, f"{at}/*/summary.json", "n long").select("run_folder", "n")
+    counts = table(spark, sf, "nation").groupBy(F.format_string("r%d", "n_regionkey").alias("run")).agg(F.count("*").alias("n"))
+    counts.write.partitionBy("run").json(at)
+    return FS.read_summaries(spark, f"{at}/*/*.json", "n long").select(F.substring_index("run_folder", "=", -1).alias("run_folder"), "n")
 
 
 @query("src_11_run_paths", "SELECT 'run' AS kind, 'b' AS found UNION ALL SELECT 'legacy', 'old.jsonl' UNION ALL SELECT 'alias', 'run1'")
@@ -181,10 +179,10 @@ def _(spark, sf):
     return P.derive_passes(table(spark, sf, "events").select("event_id", status.alias("execution_status"))).drop("execution_status")
 
 
-@query("prj_13_remap_ids", "SELECT 'a__' || c_name AS candidate_id, c_name AS parent_candidate_id FROM customer WHERE c_custkey < 50 UNION ALL SELECT 'b__' || c_name, c_name FROM customer WHERE c_custkey BETWEEN 25 AND 75")
+@query("prj_13_remap_ids", "SELECT 'a__' || c_name AS candidate_id, c_name AS parent_candidate_id FROM customer UNION ALL SELECT 'b__' || c_name, c_name FROM customer WHERE c_acctbal > 0")
 def _(spark, sf):
     c = table(spark, sf, "customer").withColumnRenamed("c_name", "candidate_id")
-    return D.merge_runs(c.filter("c_custkey < 50"), c.filter("c_custkey BETWEEN 25 AND 75")).select("candidate_id", "parent_candidate_id")
+    return D.merge_runs(c, c.filter("c_acctbal > 0")).select("candidate_id", "parent_candidate_id")
 
 
 @query("prj_16_task_from_raw", "SELECT 'mbpp_' || item_id AS task_id, trim(text) AS prompt, 'f' || item_id AS entry_point, CAST(2 AS BIGINT) AS n_tests, CAST(2 AS BIGINT) AS loc FROM benchmark")
@@ -239,12 +237,12 @@ def _(spark, sf):
 
 @query(
     "flt_11_pair_validity",
-    """WITH p AS (SELECT a.l_orderkey AS k, a.l_partkey AS p, b.l_partkey AS n, b.l_tax < 0.07 AND b.l_discount < 0.09 AS e, coalesce(a.l_quantity - CASE WHEN b.l_suppkey % 4 > 0 THEN b.l_quantity END, -999) > 0 AS gain, b.l_linenumber % 3 AS s, b.l_linenumber % 2 AS g FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R' WHERE a.l_orderkey < 2000)
+    """WITH p AS (SELECT a.l_orderkey AS k, a.l_partkey AS p, b.l_partkey AS n, b.l_tax < 0.07 AND b.l_discount < 0.09 AS e, coalesce(a.l_quantity - CASE WHEN b.l_suppkey % 4 > 0 THEN b.l_quantity END, -999) > 0 AS gain, b.l_linenumber % 3 AS s, b.l_linenumber % 2 AS g FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'A' AND b.l_returnflag = 'R')
     SELECT k, p, n, e::INT AS ok, (e AND (gain OR s > 0 OR g > 0))::INT AS logic, (e AND gain AND s >= 1)::INT AS high FROM p""",
 )
 def _(spark, sf):
     c = F.col
-    li = table(spark, sf, "lineitem").filter("l_orderkey < 2000").select(c("l_orderkey").alias("task_id"), c("l_partkey").alias("id"), "l_returnflag", "l_suppkey", c("l_quantity").alias("q"), F.lit(1).alias("syntax_pass"), F.lit(1).alias("execution_pass"), (c("l_tax") >= 0.07).cast("int").alias("invalid_candidate_flag"), (c("l_discount") >= 0.09).cast("int").alias("redefines_target_flag"), (c("l_linenumber") % 3).alias("neg_logic_signal_count"), (c("l_linenumber") % 2).alias("failure_log_count"))
+    li = table(spark, sf, "lineitem").select(c("l_orderkey").alias("task_id"), c("l_partkey").alias("id"), "l_returnflag", "l_suppkey", c("l_quantity").alias("q"), F.lit(1).alias("syntax_pass"), F.lit(1).alias("execution_pass"), (c("l_tax") >= 0.07).cast("int").alias("invalid_candidate_flag"), (c("l_discount") >= 0.09).cast("int").alias("redefines_target_flag"), (c("l_linenumber") % 3).alias("neg_logic_signal_count"), (c("l_linenumber") % 2).alias("failure_log_count"))
     pos = li.filter("l_returnflag = 'A'").withColumn("mutation_score", c("q"))
     neg = li.filter("l_returnflag = 'R'").withColumn("mutation_score", F.when(c("l_suppkey") % 4 > 0, c("q")))
     out = PL.pair_validity(PL.pairs(pos, neg))
@@ -312,7 +310,7 @@ def _(spark, sf):
 
 @query("agg_31_strength_by_task", "SELECT k, count(*) FILTER (t = 'strong') AS n_strong, count(*) FILTER (t = 'ordinary') AS n_ordinary, round(avg(p) FILTER (t = 'strong'), 6) AS mean_strong FROM (SELECT o_custkey AS k, o_totalprice AS p, CASE WHEN count(*) OVER w = 1 THEN 'singleton' WHEN row_number() OVER (w ORDER BY o_totalprice DESC, o_orderkey) <= ceil(count(*) OVER w / 2.0) THEN 'strong' ELSE 'ordinary' END AS t FROM orders WINDOW w AS (PARTITION BY o_custkey)) GROUP BY 1")
 def _(spark, sf):
-    h = R.halves(table(spark, sf, "orders"), ["o_custkey"], R.last(("o_totalprice", "desc"), "o_orderkey"))
+    h = R.halves(table(spark, sf, "orders"), ["o_custkey"], [("o_totalprice", "desc"), "o_orderkey"])
     return h.groupBy(F.col("o_custkey").alias("k")).agg(F.count_if(F.col("tier") == "strong").alias("n_strong"), F.count_if(F.col("tier") == "ordinary").alias("n_ordinary"), F.round(F.avg(F.when(F.col("tier") == "strong", F.col("o_totalprice"))), 6).alias("mean_strong"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkassay.functions import code as K
 from sparkassay.functions import parsers as PS
 from sparkassay.plans.registry import query, table
+from sparkassay.sources import files as FS
 from sparkassay.streaming import events as EV
 
 _CODE = [
@@ -25,36 +26,54 @@ def _code(spark):
     return spark.createDataFrame(_CODE, "id long, code string, entry string")
 
 
-@query("udf_02_static_features")
+# What the code rows above have, counted by hand.
+_FEATURES = ("num_asserts", "num_test_functions", "num_pytest_raises", "num_exception_checks", "num_imports_in_test", "logical_nesting_depth", "num_bare_expression_calls")
+
+
+@query(
+    "udf_02_static_features",
+    f"""SELECT * FROM (VALUES (1, 2, 2, 2, 2, 1, 1, 1, 'pytest_function'), (2, 0, 0, 0, 0, 0, 0, 0, 'none'), (3, 1, 0, 0, 0, 0, 0, 0, 'top_level_assert'), (4, 0, 0, 0, 0, 0, 0, 0, 'none'), (5, 0, 0, 0, 0, 0, 0, 0, 'none'), (6, 0, 0, 0, 0, 0, 1, 0, 'none')) t(id, {", ".join(_FEATURES)}, test_style)""",
+)
 def _(spark, sf):
-    return _code(spark).select("id", K.udfs()["static_features"]("code").alias("s")).select("id", "s.*")
+    return _code(spark).select(F.col("id").cast("int").alias("id"), K.udfs()["static_features"]("code").alias("s")).select("id", *[F.col(f"s.{c}").cast("int").alias(c) for c in _FEATURES], "s.test_style")
 
 
-@query("udf_03_logic_proxies")
+@query("udf_03_logic_proxies", "SELECT * FROM (VALUES (1, 2, 2, 1), (2, 0, 0, 0), (3, 0, 0, 0), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 0, 0, 0)) t(id, tests, checked, exceptions)")
 def _(spark, sf):
-    return _code(spark).select("id", K.udfs()["logic_proxies"]("code").alias("s")).select("id", "s.*")
+    r = _code(spark).select(F.col("id").cast("int").alias("id"), K.udfs()["logic_proxies"]("code").alias("s"))
+    return r.select("id", *[F.col(f"s.{c}").cast("int").alias(n) for n, c in (("tests", "num_test_functions"), ("checked", "num_test_functions_with_checks"), ("exceptions", "exception_signal_count"))])
 
 
-@query("udf_05_validity")
+@query("udf_05_validity", "SELECT * FROM (VALUES (1, 'ok', 0), (2, 'invalid_redefines_target', 1), (3, 'ok', 0), (4, 'syntax_error', 0), (5, 'empty_code', 1), (6, 'weak_no_assert_like_check', 0)) t(id, status, invalid)")
 def _(spark, sf):
-    return _code(spark).select("id", K.udfs()["validity"]("code", "entry").alias("s")).select("id", "s.*")
+    r = _code(spark).select(F.col("id").cast("int").alias("id"), K.udfs()["validity"]("code", "entry").alias("s"))
+    return r.select("id", "s.status", F.col("s.invalid").cast("int").alias("invalid"))
 
 
-@query("udf_09_variants")
+@query("udf_09_variants", "SELECT * FROM (VALUES (1, 1, 'drop_targeted_test', false, true), (1, 2, 'weaken_target_asserts', true, true), (1, 4, 'keep_first_test_and_weaken_rest', true, true)) t(id, variant, kind, has_first_test, has_second_test)")
 def _(spark, sf):
-    return _code(spark).select("id", F.explode(K.udfs()["variants"]("code")).alias("v")).select("id", "v.*")
+    r = _code(spark).select(F.col("id").cast("int").alias("id"), F.explode(K.udfs()["variants"]("code")).alias("v")).select("id", "v.*")
+    return r.select("id", F.col("variant").cast("int").alias("variant"), "kind", F.contains("code", F.lit("def test_a")).alias("has_first_test"), F.contains("code", F.lit("def test_empty")).alias("has_second_test"))
 
 
-@query("udf_10_discovery")
+@query(
+    "udf_10_discovery",
+    "SELECT * FROM (VALUES (1, 'test_a', 'function', 3, 'test_a'), (1, 'test_empty', 'function', 8, 'test_empty'), (2, 'f', 'function', 1, 'f'), (6, 'A.go', 'method:static', 3, 'A.go'), (6, 'A._in', 'internalmethod:instance', 8, 'A._in'), (6, 'A._in.deep', 'nested', 9, 'A._in')) t(id, name, kind, line, effective)",
+)
 def _(spark, sf):
-    return _code(spark).select("id", F.explode(K.udfs()["discover"]("code")).alias("v")).select("id", "v.*")
+    r = _code(spark).select(F.col("id").cast("int").alias("id"), F.explode(K.udfs()["discover"]("code")).alias("v")).select("id", "v.*")
+    return r.withColumn("line", F.col("line").cast("int"))
 
 
-@query("udf_11_mutation_sites")
+@query(
+    "udf_11_mutation_sites",
+    """SELECT * FROM (VALUES (1, 'compare', 4, 'eq', 'NotEq'), (1, 'compare', 9, 'is', 'IsNot'), (1, 'constant', 4, '2', '3'), (1, 'constant', 4, '1', '2'), (1, 'constant', 6, '1', '2'), (2, 'return', 2, 'value', 'None'),
+    (3, 'compare', 1, 'eq', 'NotEq'), (3, 'constant', 1, '0', '1'), (3, 'constant', 1, '0', '1'), (6, 'return', 6, 'value', 'None'), (6, 'boolop', 4, 'and', 'Or'), (6, 'return', 5, 'value', 'None'), (6, 'constant', 6, '''no''', '''nox'''),
+    (6, 'compare', 4, 'gt', 'GtE'), (6, 'unary', 4, 'not', 'identity'), (6, 'binop', 5, 'add', 'Sub'), (6, 'constant', 4, '0', '1'), (6, 'compare', 4, 'eq', 'NotEq'), (6, 'constant', 5, '1', '2'), (6, 'constant', 4, '3', '4')) t(id, kind, line, old, new)""",
+)
 def _(spark, sf):
-    u = K.udfs()
-    found = _code(spark).select("id", "code", F.explode(u["sites"]("code")).alias("v")).select("id", "code", "v.*")
-    return found.select("id", "site", "kind", "line", "old", "new", u["mutate"]("code", F.col("site").cast("string")).alias("mutant"))
+    found = _code(spark).select(F.col("id").cast("int").alias("id"), F.explode(K.udfs()["sites"]("code")).alias("v")).select("id", "v.*")
+    return found.select("id", "kind", F.col("line").cast("int").alias("line"), "old", "new")
 
 
 @query("fn_15_pytest_report", "SELECT 1 AS id, 7 AS collected, 5 AS passed, 2 AS failed, 'ValueError' AS exception_type UNION ALL SELECT 2, 3, 3, NULL, NULL")
@@ -79,10 +98,8 @@ def _(spark, sf):
 
 def _stream(spark, sf):
     """The events as a stream, and a fresh place for its state."""
-    from tempfile import mkdtemp
-
     path = f"{sf}/events.parquet"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp()
+    root = FS.shared_dir(spark)
     return EV.read_stream(spark, path, table(spark, sf, "events").schema), f"{root}/stream-{uuid.uuid4().hex}", f"s{uuid.uuid4().hex}"
 
 

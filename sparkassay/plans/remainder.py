@@ -125,11 +125,11 @@ def _(spark, sf):
 
 @query(
     "ds_05_fixed_budget_cells",
-    f"""WITH o AS (SELECT *, {_CELL} AS cell FROM orders WHERE o_orderkey % 20 = 0), t AS (SELECT *, row_number() OVER (PARTITION BY cell, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rr FROM o)
+    f"""WITH o AS (SELECT *, {_CELL} AS cell FROM orders), t AS (SELECT *, row_number() OVER (PARTITION BY cell, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rr FROM o)
     SELECT o_orderkey, cell FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY rr, o_orderstatus) AS turn FROM t) WHERE turn <= 7""",
 )
 def _(spark, sf):
-    turned = R.round_robin(_cells(spark, sf).filter("o_orderkey % 20 = 0"), ["cell"], "o_orderstatus", R.last(("o_totalprice", "desc"), "o_orderkey"))
+    turned = R.round_robin(_cells(spark, sf), ["cell"], "o_orderstatus", R.last(("o_totalprice", "desc"), "o_orderkey"))
     return turned.filter("turn <= 7").select("o_orderkey", "cell")
 
 

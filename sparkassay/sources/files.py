@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkassay.schema import EXTERNAL_PROJECTS
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do without: it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="assay-")
+    return found.rstrip("/")
+
+
 def _fs(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -64,9 +75,31 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
 
 
 def with_record_index(df: DataFrame, name: str = "raw_record_index", start: int = 1) -> DataFrame:
-    """The position of each row in its source, from ``start``, without moving all rows to one task."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)), schema)
+    """The position of each row in its source, from ``start``, for a frame that comes straight from files.
+
+    Places within a task come from Spark's increasing ids; what the tasks before it hold is one small row each, joined to them.
+    """
+    low = F.lit((1 << 33) - 1)
+    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    counts = marked.groupBy("_task").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the scan
+    first = counts.select("_task", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return marked.join(F.broadcast(first), "_task").select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(low) + start).alias(name))
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``line_no, line`` of the lines of a file that aren't blank and aren't records of the schema."""
+    lines = with_record_index(spark.read.text(path), "line_no")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.filter((F.trim("value") != "") & parsed["_bad"].isNotNull()).select("line_no", F.col("value").alias("line"))
+
+
+def require_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines that are all records of the schema; raises with the number of the first line that isn't."""
+    first = bad_lines(spark, path, schema).orderBy("line_no").first()
+    if first:
+        raise ValueError(f"{path}, line {first['line_no']}: {first['line'][:200]}")
+    return read_jsonl(spark, path, schema, strict=True)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -137,11 +170,16 @@ def export_csv(spark: SparkSession, source: str, target: str, schema: T.StructTy
     write_csv(read_jsonl(spark, source, schema), target, fields)
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """A small driver-side report as one JSON file, on any file system."""
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """A small file from the driver, on any file system."""
     fs, where = _fs(spark, path)
     out = fs.create(where, True)
     try:
-        out.write(bytearray(json.dumps(report, ensure_ascii=False, indent=2, default=str).encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
+
+
+def write_report(spark: SparkSession, report: dict | list, path: str) -> None:
+    """A small driver-side report as one JSON file, on any file system."""
+    write_bytes(spark, json.dumps(report, ensure_ascii=False, indent=2, default=str).encode(), path)

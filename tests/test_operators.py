@@ -60,9 +60,10 @@ def test_two_tier_fill(spark):
     assert rows(out, "b", "id", "tier", "rn") == [("s", 1, 0, 2), ("s", 2, 0, 1), ("s", 3, 1, 3), ("t", 4, 1, 1)]
 
 
+@pytest.mark.parametrize("spread", [True, False])
 @pytest.mark.parametrize("n, strong", [(1, 0), (2, 1), (3, 2), (4, 2)])
-def test_halves(spark, n, strong):
-    out = R.halves(spark.range(n).withColumn("k", F.lit(1)), ["k"], R.last("id"))
+def test_halves(spark, n, strong, spread):
+    out = R.halves(spark.range(n).withColumn("k", F.lit(1)), ["k"], ["id"], spread=spread)
     assert out.filter("tier = 'strong'").count() == strong
     assert out.filter("tier = 'singleton'").count() == (n == 1)
 
@@ -201,3 +202,66 @@ def test_datasets(spark):
     assert rows(pref, "chosen_candidate_id", "rejected_candidate_id") == [("p1", "n1"), ("p2", "n3")]
     assert rows(D.label_shuffled(pref), "task_id", "chosen", "label_shuffled") == [(1, "x", False), (2, "v", True)]
     assert math.isclose(D.sft_rows(pref).count(), 2)
+
+
+@pytest.mark.parametrize("order", [["v", "id"], [("v", "desc"), "id"], [("s", "desc"), "id"]])
+def test_ranks_in_pieces_equal_plain_ranks(spark, order):
+    import random
+
+    rnd = random.Random(1)
+    data = [(i, rnd.choice(["a", "b", None]), rnd.choice([None, 1.5, 1e9, -3.0, rnd.random()]), rnd.choice("xyz")) for i in range(300)] + [(900, "alone", None, None)]
+    df = spark.createDataFrame(data, "id int, g string, v double, s string")
+    for by in (["g"], []):
+        plain, pieces = (rows(R.ranked_strata(df, by, order, spread), "id", "rn", "n") for spread in (False, True))
+        assert plain == pieces
+    assert R.ranked_strata(df.limit(0), ["g"], order).count() == 0
+
+
+def test_shuffled_and_split_equal_one_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(500).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    one = df.withColumn("pos", F.row_number().over(Window.orderBy(R.shuffle_key(7, "id"), "id")))
+    assert rows(R.shuffled(df, "id", 7), "id", "pos") == rows(one, "id", "pos")
+    parts = R.split(df, ["g"], "id", 7, {"a": 0.5, "b": 0.5}).groupBy("g", "split").count()
+    assert sorted(r["count"] for r in parts.collect()) == [83, 83, 83, 83, 84, 84]
+
+
+def test_matched_random_is_the_nearest(spark):
+    import random
+
+    rnd = random.Random(3)
+    data = [(i, rnd.choice(["x", "y", "z", None]), rnd.choice([None, *range(6)])) for i in range(80)] + [(200, "lonely", 3)]
+    df = spark.createDataFrame(data, "id int, g string, v int")
+    got = {r.anchor_id: (r.match_id, r.gap, r.level) for r in R.matched_random(df, df, [["g"], []], "id", "v", 1, near=1).collect()}
+    expected = {}
+    for i, g, v in data:
+        for level, same in enumerate((lambda h, g=g: g is not None and g == h, lambda h: True)):
+            near = sorted((abs(w - v), j) for j, h, w in data if v is not None and w is not None and j != i and same(h))
+            if near:
+                expected[i] = (near[0][1], near[0][0], level)
+                break
+    assert got == expected
+
+
+def test_shared_folder_is_needed_off_a_local_master(spark):
+    from sparkassay.sources import files as FS
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        FS.shared_dir(Cluster())
+    assert FS.shared_dir(spark)
+
+
+def test_bootstrap_draws(spark):
+    data = [(s, c, float(s + 10 * (c[0] == "H"))) for s in range(8) for c in ("LL", "HL", "LH", "HH")]
+    df = spark.createDataFrame(data, "seed int, cell string, y double")
+    out = {r.effect: (r.lo, r.hi) for r in ST.bootstrap_effects(df, "cell", "y", "seed", draws=500).collect()}
+    assert out["pos_main"] == (10.0, 10.0) and out["neg_main"] == (0.0, 0.0)
+    low = df.filter("cell = 'LL'")
+    spread = low.withColumn("y", F.lit(0.0)).unionByName(low.withColumn("cell", F.lit("HH")))
+    lo, hi = next((r.lo, r.hi) for r in ST.bootstrap_effects(spread, "cell", "y", "seed", draws=2000).collect() if r.effect == "hh_minus_ll")
+    assert 1.5 < lo < 2.5 and 4.5 < hi < 5.5
