@@ -56,3 +56,10 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     up, down = _runs.of(len(words) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
     return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
+
+
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the word hashes from each start to before the end; spans may be empty."""
+    up, down = _runs.of(len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
