@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +81,27 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-def _cuts(docs: DataFrame, parts: int) -> list[int]:
+def _cuts(docs: DataFrame, parts: int) -> list[float]:
     """At most ``parts - 1`` ids that cut the table into ranges of about the same size."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    return sorted({int(x) for x in found})
+    found = docs.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    return sorted(set(found))
+
+
+def _part(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """Adds ``part``, the range that the id is in, found by binary search: 0 has the largest ids, the last one also rows without an id."""
+    if not cuts:
+        return rows.withColumn("part", F.lit(0))
+    # Ids beyond 2**53 meet in doubles, so the same id is never in two ranges.
+    bins = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="_bin", handleInvalid="keep")
+    found = bins.transform(rows.withColumn("_at", F.coalesce(F.col("id").cast("double"), F.lit(-math.inf))))
+    return found.withColumn("part", (F.lit(len(cuts)) - F.col("_bin")).cast("int")).drop("_at", "_bin")
 
 
 def compare_edited(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Sketches of each text and of its edited text, which ends in the start of the next document (by descending id; after the last, the first).
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Rows are dealt into
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, held_by_edited`` (the last:
+    the estimated share of the text's shingles that the edited text holds). Rows are dealt into
     ranges of ids and streamed in order; each range also gets the first row of the next one, so no row needs the whole
     order. Null ids come last, repeated ids in the order of their texts; a single row is its own next. Null texts are empty.
     """
@@ -97,10 +110,7 @@ def compare_edited(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE)
     parts = width(spark)
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
     cuts = _cuts(docs, parts)
-    # Part 0 has the largest ids; rows without an id come last.
-    below = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col("id").isNull(), len(cuts)).otherwise(len(cuts) - F.size(F.filter(below, lambda c: c <= F.col("id")))).cast("int")
-    rows = rows.withColumn("part", part)
+    rows = _part(rows, cuts)
     firsts = {r["part"]: r["id"] for r in rows.groupBy("part").agg(F.max("id").alias("id")).collect()}  # one small row a part
     order = sorted(firsts)
     # The first rows of each part go to the part before it as well (the very first to the last).
@@ -108,17 +118,17 @@ def compare_edited(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE)
     halo = rows.join(F.broadcast(spark.createDataFrame([(p, firsts[p], before[p]) for p in order], "part int, first long, target int")), "part").filter("id <=> first")
     # Of rows with the same first id only the least text is the next.
     halo = halo.groupBy("target").agg(F.min("text").alias("text")).select(F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("id"), "text", F.col("target").alias("part"), F.lit(True).alias("halo"))
-    dealt = rows.withColumn("halo", F.lit(False)).unionByName(halo).repartition(parts, "part").sortWithinPartitions("part", "halo", F.col("id").desc_nulls_last(), "text").select("part", "halo", "doc_id", "text")
+    dealt = rows.withColumn("halo", F.lit(False)).unionByName(halo).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "halo", F.col("id").desc_nulls_last(), "text").select("part", "halo", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "held_by_edited"]
         waits: list[tuple] = []  # the row whose next isn't known yet
 
         def finish(row: tuple, text: str, mine: np.ndarray) -> tuple:
             key, own, own_sketch = row
             changed = edited(own, text)
             other = sketch(changed, shingle, scale)
-            return key, len(own), hashlib.sha256(changed.encode()).hexdigest(), as_text(own_sketch), as_text(other), resemblance(own_sketch, other), resemblance(own_sketch, mine)
+            return key, len(own), hashlib.sha256(changed.encode()).hexdigest(), as_text(own_sketch), as_text(other), resemblance(own_sketch, other), resemblance(own_sketch, mine), containment(own_sketch, other)
 
         for batch in batches:
             out = []
@@ -133,4 +143,4 @@ def compare_edited(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE)
                 cols = list(zip(*out, strict=True))
                 yield pa.record_batch([pa.array([k.as_py() for k in cols[0]], batch.column(2).type), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.string()) for c in cols[2:5]), *(pa.array(c, pa.float64()) for c in cols[5:])], names=names)
 
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, held_by_edited double")
