@@ -59,8 +59,8 @@ def _called(node: ast.AST) -> str:
     return ast.unparse(node.func) if isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute) else ""
 
 
-def static_features(code: str | None, prefix: str = "test_", compat: bool = True) -> dict:
-    """Counts and flags of a test file. ``compat`` counts a ``with pytest.raises`` both as a context and as a call."""
+def static_features(code: str | None, prefix: str = "test_", compat: bool = True, deep: tuple[type, ...] = _DEEP) -> dict:
+    """Counts and flags of a test file. ``compat`` counts a ``with pytest.raises`` both as a context and as a call; ``deep`` syntax nests."""
     tree, kind, message = parse(code)
     count = dict.fromkeys(("num_test_functions", "num_async_test_functions", "num_asserts", "num_asserts_in_test_functions", "num_top_level_asserts", "num_try_except", "num_raise_statements", "num_pytest_raises", "num_exception_checks", "num_imports_in_test", "ast_node_count", "ast_max_depth", "logical_nesting_depth", "num_bare_expression_calls"), 0)
     modules, raisers = {"pytest"}, set()
@@ -100,7 +100,7 @@ def static_features(code: str | None, prefix: str = "test_", compat: bool = True
             hits = sum(is_raises(i.context_expr) for i in node.items)
             count["num_pytest_raises"] += hits
             count["num_exception_checks"] += hits
-        nesting += isinstance(node, _DEEP)
+        nesting += isinstance(node, deep)
         count["logical_nesting_depth"] = max(count["logical_nesting_depth"], nesting)
         for child in ast.iter_child_nodes(node):
             visit(child, depth + 1, nesting, inside)
@@ -128,6 +128,12 @@ def static_features(code: str | None, prefix: str = "test_", compat: bool = True
     }
 
 
+def surface(code: str | None) -> dict:
+    """Counts of a test file's surface: test functions by the prefix ``test``, and nesting without ``match``."""
+    found = static_features((code or "").strip(), "test", deep=tuple(x for x in _DEEP if x is not ast.Match))
+    return {k: found[k] for k in ("num_test_functions", "num_async_test_functions", "ast_node_count", "ast_max_depth", "logical_nesting_depth")} | {"ast_parse_pass": int(found["ast_parse_pass"])}
+
+
 def logic_proxies(code: str | None) -> dict:
     """Test functions (prefix ``test``), those with a check, and boundary and exception signals; nulls for unparsable code."""
     names = ("num_test_functions", "num_test_functions_with_checks", "boundary_signal_count", "exception_signal_count", "TBC", "boundary_coverage", "exception_path_coverage")
@@ -230,16 +236,21 @@ def assemble(prompt: str | None, solution: str | None, entry: str | None, import
     return {"code": "\n\n".join(x for x in ("\n".join(imports or []), (prompt or "") + (solution or "")) if x) + "\n", "mode": "prompt_plus_body"}
 
 
+_TEST = re.compile(r"(?m)^[ \t]*(?:async\s+)?def\s+test[_a-zA-Z0-9]*\s*\(")
+
+
+def has_test_signal(text: str) -> bool:
+    """Whether a text has a test function and a check."""
+    return bool(_TEST.search(text)) and ("assert " in text or "pytest.raises" in text)
+
+
 def parseable_prefix(code: str | None) -> str | None:
-    """The longest run of leading lines that parses and holds a test or an assertion."""
-    lines = (code or "").split("\n")
-    for n in range(len(lines), 0, -1):
-        text = "\n".join(lines[:n])
-        if not re.search(r"\bdef test|\bassert\b", text):
-            return None
-        if parse(text)[0] is not None:
-            return text
-    return None
+    """Code that parses as it is, else its longest run of leading lines that parses and holds a test with a check; null if there is none."""
+    if parse(code)[0] is not None:
+        return code
+    lines = (code or "").rstrip().splitlines()
+    runs = ("\n".join(lines[:n]).rstrip() for n in range(len(lines) - 1, 0, -1))
+    return next((x for x in runs if has_test_signal(x) and parse(x)[0] is not None), None)
 
 
 def fenced(text: str | None) -> str | None:
@@ -250,12 +261,26 @@ def fenced(text: str | None) -> str | None:
     return next((b for p in (r"\bdef\s+test", r"\bassert\b") for b in blocks if re.search(p, b)), blocks[0])
 
 
+#: Marks that tokenizers leave for white space, and the module that generated imports name for the code under test: fixed values.
+_MARKS = {"Ċ": "\n", "Ġ": " ", "ĉ": "\t"}
+_PLACEHOLDER = "your_module"
+
+
 def normalise_generated(text: str | None) -> str:
-    """Generated text as test code: fences, line ends, tokenizer marks, placeholder imports and main guards removed."""
-    x = (fenced(text) or "").replace("\r\n", "\n").replace("Ġ", " ").replace("Ċ", "\n")
-    x = re.sub(r"(?m)^\s*from\s+(your_module|solution|module_name)\s+import\s+.*$", "", x)
-    x = re.split(r"(?m)^if\s+__name__\s*==", x)[0]
-    return (parseable_prefix(x) or x).strip() + "\n" if x.strip() else ""
+    """Generated text as test code.
+
+    Tokenizer marks, fences, line ends, imports of the placeholder module, what stands before the first test (but for its
+    imports) and after a main guard are removed; of what doesn't parse then the parseable prefix stays, if it has one.
+    """
+    x = (text or "").translate(str.maketrans(_MARKS))
+    x = (fenced(x) or "").replace("\r\n", "\n").replace("\r", "\n")
+    lines = [line for line in x.splitlines() if not re.match(rf"\s*from\s+{_PLACEHOLDER}\s+import\s+", line)]
+    first = next((i for i, line in enumerate(lines) if _TEST.match(line)), None)
+    if first is not None:
+        lines = [line for line in lines[:first] if re.match(r"\s*(import|from)\s+", line) and _PLACEHOLDER not in line] + lines[first:]
+    guard = next((i for i, line in enumerate(lines) if re.match(r"if\s+__name__\s*==\s*['\"]__main__['\"]\s*:", line)), len(lines))
+    x = "\n".join(lines[:guard]).strip()
+    return (parseable_prefix(x) or x).strip()
 
 
 def variants(code: str | None) -> list[dict]:
@@ -510,6 +535,13 @@ def udfs() -> dict:
 
         return udf
 
+    def three(f, kind):
+        @F.pandas_udf(kind)
+        def udf(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([f(x, y, z) for x, y, z in zip(a, b, c, strict=True)], columns=[p.split(" ")[0] for p in kind.split(", ")])
+
+        return udf
+
     def plain(f, kind):
         @F.pandas_udf(kind)
         def udf(s: pd.Series) -> pd.Series:
@@ -525,7 +557,8 @@ def udfs() -> dict:
         return udf
 
     out = {name: one(f, _struct(f, *sample)) for name, (f, sample) in scalar.items()}
-    out |= {"validity": two(validity, "status string, invalid long, redefines_kind string, missing_check long, suspicious long"), "signature": two(signature, "signature string, arg_count long"), "runner_mode": one(runner_mode, "mode string, top_level_asserts long"), "parse_check": one(parse_check, "ok boolean, kind string, message string")}
+    out |= {"validity": two(validity, "status string, invalid long, redefines_kind string, missing_check long, suspicious long"), "signature": two(signature, "signature string, arg_count long"), "runner_mode": one(runner_mode, "mode string, top_level_asserts long"), "parse_check": one(parse_check, "ok boolean, kind string, message string"), "surface": one(surface, "num_test_functions long, num_async_test_functions long, ast_node_count long, ast_max_depth long, logical_nesting_depth long, ast_parse_pass long")}
+    out |= {"assemble": three(assemble, "code string, mode string")}
     out |= {"normalise_generated": plain(normalise_generated, "string"), "fenced": plain(fenced, "string"), "parseable_prefix": plain(parseable_prefix, "string"), "violation": plain(violation, "string"), "top_imports": plain(top_imports, "array<string>"), "is_check_harness": plain(is_check_harness, "boolean")}
     out |= {"is_full_function": pair(is_full_function, "boolean"), "prune": pair(prune, "string"), "mutate": pair(lambda c, n: mutate(c, int(n)), "string")}
     out |= {"variants": plain(variants, "array<struct<variant: long, kind: string, code: string>>"), "discover": plain(discover, "array<struct<name: string, kind: string, line: long, effective: string>>"), "sites": plain(sites, "array<struct<site: long, kind: string, line: long, col: long, old: string, new: string>>"), "mutants": plain(mutants, "array<struct<site: long, operator: string, code: string>>"), "doctests": plain(doctests, "array<struct<call: string, expected: string>>"), "segments": one(segments, "setup array<string>, asserts array<string>")}

@@ -164,9 +164,11 @@ def _(spark, sf):
     return c.select("id", F.size("s.setup").alias("n_setup"), F.size("s.asserts").alias("n_asserts"))
 
 
-@query("udf_18_parseable_prefix", "SELECT 1 AS id, 'assert 1' AS code")
+@query("udf_18_parseable_prefix", "SELECT 1 AS id, 'def test_a():|    assert 1' AS code UNION ALL SELECT 2, 'x = 1|y = 2' UNION ALL SELECT 3, NULL")
 def _(spark, sf):
-    return spark.createDataFrame([(1, "assert 1\nif x:\n")], "id int, t string").select("id", K.udfs()["parseable_prefix"]("t").alias("code"))
+    c = spark.createDataFrame([(1, "def test_a():\n    assert 1\ndef broken(:\n    assert 2"), (2, "x = 1\ny = 2"), (3, "assert 1\nif x:\n")], "id int, t string")
+    return c.select("id", F.translate(K.udfs()["parseable_prefix"]("t"), "\n", "|").alias("code"))
+
 
 
 @query("udf_05_signatures", "SELECT 1 AS id, 'def f(a, *b) -> int:' AS signature, CAST(2 AS BIGINT) AS arg_count")

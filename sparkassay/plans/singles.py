@@ -798,6 +798,31 @@ def _(spark, sf):
     return c.select("code", F.explode(K.udfs()["mutants"]("code")).alias("m")).select("code", F.rtrim(F.translate("m.code", "\n", "")).alias("mutant"))
 
 
+@query("udf_04_surface_counts", "SELECT * FROM (VALUES (1, 1, 3, 0), (2, 0, 2, 1), (3, 0, 0, 0)) t(id, async_tests, tests, nesting)")
+def _(spark, sf):
+    c = spark.createDataFrame([(1, "def test_a(): pass\ndef testing(): pass\nasync def test(): pass\ndef other(): pass\n"), (2, "def test_a():\n    if x:\n        pass\ndef testB():\n    for y in z: pass\n"), (3, "x = 1\n")], "id int, code string")
+    s = K.udfs()["surface"]("code")
+    return c.select("id", s.alias("s")).select("id", F.col("s.num_async_test_functions").cast("int").alias("async_tests"), F.col("s.num_test_functions").cast("int").alias("tests"), F.col("s.logical_nesting_depth").cast("int").alias("nesting"))
+
+
+@query("udf_19_assembled", "SELECT 1 AS id, 'full_function' AS mode, 'import a||def f(x):|    return x||' AS code UNION ALL SELECT 2, 'prompt_plus_body', 'def f(x):|    return x||'")
+def _(spark, sf):
+    c = spark.createDataFrame([(1, "import a\ndef f(x):\n", "def f(x):\n    return x\n", "f"), (2, "def f(x):\n", "    return x\n", "f")], "id int, prompt string, solution string, entry string")
+    return c.select("id", K.udfs()["assemble"]("prompt", "solution", "entry").alias("a")).select("id", "a.mode", F.translate("a.code", "\n", "|").alias("code"))
+
+
+@query("fn_24_cleaned_text", "SELECT 1 AS id, 'import pytest|def test_a():|    assert f(1) == 2' AS code UNION ALL SELECT 2, 'x = 1' UNION ALL SELECT 3, 'def test_b():|    assert 1' UNION ALL SELECT 4, ''")
+def _(spark, sf):
+    made = [
+        "Here it is:\n```python\nimport pytest\r\nfrom your_module import f\r\nprint('x')\r\ndef test_a():\r\n    assert f(1) == 2\r\n\r\nif __name__ == '__main__':\r\n    pytest.main()\r\n```\n",
+        "xĠ=Ġ1Ċ",
+        "def test_b():\n    assert 1\ndef broken(",
+        None,
+    ]
+    c = spark.createDataFrame(list(enumerate(made, 1)), "id int, text string")
+    return c.select("id", F.translate(K.udfs()["normalise_generated"]("text"), "\n", "|").alias("code"))
+
+
 @query("udf_16_check_harness", "SELECT 1 AS id, true AS harness UNION ALL SELECT 2, false")
 def _(spark, sf):
     c = spark.createDataFrame([(1, "def check(candidate):\n    assert candidate(1) == 1\n"), (2, "def test_a():\n    pass\n")], "id int, code string")
@@ -905,3 +930,16 @@ def _(spark, sf):
 def _(spark, sf):
     files = spark.createDataFrame([("a.py", "def f(): pass\nclass A:\n    def m(self): pass\n    def __init__(self): pass\n"), ("b.py", "def _g(): pass\n"), ("broken.py", "def (")], "name string, text string")
     return files.select("name", F.explode(K.udfs()["discover"]("text")).alias("d")).select("name", F.col("d.name").alias("function"), "d.kind")
+
+
+@query("app_04_record_lines", "SELECT 1 AS id, CAST(i AS INT) AS line_no, substr('target 1-URGENT score 83 status review ' || repeat('x', 40), CAST(i * 58 + 1 AS BIGINT), 58) AS line FROM range(2) t(i)")
+def _(spark, sf):
+    r = spark.createDataFrame([(1, "1-URGENT", 83, "review")], "id int, target string, score int, status string")
+    text = F.concat(F.format_string("target %s score %d status %s ", "target", "score", "status"), F.repeat(F.lit("x"), F.lit(40)))
+    return RP.paged(r.withColumn("text", text), "id", "text").select("id", "line_no", "line")
+
+
+@query("app_15_client_gate", f"""WITH {_EVAL}, g AS (SELECT avg(score) AS score, avg(line) * 100 AS line, avg(branch) * 100 AS branch, coalesce(avg(mutation) FILTER (mutationvalid = 1), 0) * 100 AS mutation, bool_or(status = 'drop') AS d, bool_or(status = 'review') AS r FROM st WHERE score > 60)
+    SELECT round(score, 4) AS score, round(line, 4) AS line, CASE WHEN d THEN 'reject' WHEN score >= 75 AND line >= 80 AND branch >= 70 AND mutation >= 60 AND NOT r THEN 'pass' ELSE 'review' END AS verdict FROM g""")
+def _(spark, sf):
+    return RP.gate(_evaluations(spark, sf).filter("score > 60")).select(F.round("score", 4).alias("score"), F.round("line", 4).alias("line"), "verdict")
