@@ -3,7 +3,8 @@
 Writing: each page becomes a response record, compressed as a gzip member of its own, before anything is shuffled.
 Headers (id, address, size and SHA-1 of the payload) are shuffled by digest to find, of the records with equal payloads of
 at least ``least`` bytes, the one with the largest id; that stays a response, the others become revisits that refer to it.
-Payloads so travel compressed, and once. Archives are written by Spark's text sink, so they go to any file system and
+The payloads that repeat are broadcast if they are few, so that records are written where they are; beyond ``FEW`` of
+them the compressed records are shuffled by digest, once. Archives are written by Spark's text sink, so they go to any file system and
 survive lost executors as any Spark output does: a gzip member ends in its size, whose last byte is zero below 16 MB, so
 the sink's line separator is that byte and a file is a plain sequence of members. Reading streams the archives member by
 member, takes size and digest from the payload itself, and joins revisits to their responses by record id.
@@ -29,6 +30,8 @@ LEAST = 1000
 RECORDS, BYTES = 2000, 64 << 20
 #: Records that a task holds at once.
 ROWS = 64
+#: Payloads with several records, up to which their table (some hundred bytes for each) is broadcast.
+FEW = 200_000
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -101,7 +104,9 @@ def resolve(pages: DataFrame, least: int = LEAST, date: str | None = None) -> Da
     packed = rows.mapInArrow(pack, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, payload_bytes long, payload_digest string, member binary")
     headers = rows.select("page_id", "url", "payload_bytes", "payload_digest").filter(F.col("payload_bytes") >= least)
     first = headers.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = packed.join(first, ["payload_digest", "payload_bytes"], "left")
+    first = Scratch(pages.sparkSession, "warc").table(first, "originals")
+    few = first.limit(FEW + 1).count() <= FEW
+    joined = packed.join(F.broadcast(first) if few else first.hint("merge"), ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
     if_revisit = lambda c: F.when(revisit, F.col(c))
     return joined.select("page_id", "url", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), if_revisit("original.page_id").alias("refers_to"), if_revisit("original.url").alias("refers_to_url"), F.when(~revisit, F.col("member")).alias("member"))
