@@ -36,7 +36,7 @@ SIMILAR = (4, 5)
 BANDS, ROWS = 12, 4
 PIVOTS = 16
 #: Members of a bucket that are dealt to one part, about; a cell holds two parts.
-CELL = 512
+CELL = 256
 #: Bytes of a shingle's hash that a set holds.
 BYTES = 5
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
