@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkassay.llm.common import text_of
@@ -135,8 +135,9 @@ def held_out(key: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Machine:
     """Fits a machine on at most ``most`` labelled rows that aren't held out.
 
-    Rows with a null id or label teach nothing; of a document with several labels each counts. Only the sample's ids are
-    sent to the texts, and only its features come back.
+    Rows with a null id or label teach nothing; of a document with several labels each counts. Of rows that share an id
+    one teaches, that with the least text hash. Only the sample's ids are sent to the texts, and only its features come
+    back: at most ``most`` rows, however often an id is repeated. No labelled rows give a machine that scores one half.
     """
     known = labels.select("doc_id", F.col(label).cast("double").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
@@ -146,13 +147,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             found = [features(x.as_py()) for x in batch.column(2)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([i.astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], names=["doc_id", "y", "i", "v"])
 
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
+    chosen = chosen.withColumn("n", F.monotonically_increasing_id())
+    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = Window.partitionBy("n").orderBy(F.xxhash64("text"), "text")
+    sample = sample.withColumn("at", F.row_number().over(one)).filter("at = 1").select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
     rows = sample.mapInArrow(run, "doc_id string, y double, i array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return fit([(np.array(i, np.int64), np.array(v, np.float64)) for i, v in zip(rows["i"].to_numpy(), rows["v"].to_numpy(), strict=True)], rows["y"].to_numpy())
 
 
 def classify(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` and the columns in ``keep`` for each row; null texts score as empty ones."""
+    """``doc_id, held_out, score, predicted`` and the columns in ``keep`` for each row; null texts score as empty ones.
+
+    Equal texts have equal scores, repeated rows stay, a null id is kept and not held out, an empty table gives an empty
+    one. Only the named columns are read, so others may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = ["doc_id", "held_out", "score", *keep]
