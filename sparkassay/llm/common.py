@@ -3,21 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from sparkassay.sources.files import shared_dir
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -67,11 +58,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def need(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Only the named columns, so that further columns (of any name) never meet an operator's own."""
-    return df.select(*names)
-
-
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle that the operator sizes itself."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
