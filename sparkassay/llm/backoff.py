@@ -1,8 +1,9 @@
 """Stupid-backoff scores of documents under an n-gram model of all the others.
 
 Documents are dealt, in compressed parcels, into blocks of bounded size. A block hashes its n-grams of all orders, counts the distinct ones and
-sends them, packed by hash, to the partitions of the count tables; a frequent n-gram so comes once from a block, never
-once from an occurrence. A partition sums the counts and joins them back to the blocks that hold the n-grams. The block
+sends them, packed by hash, to the partitions of the count tables: a row of the n-gram table holds the n-grams of one block
+in one range of hashes, as columns of hashes and counts. A frequent n-gram so comes once from a block, never once from an
+occurrence, and there are never more rows than n-grams. A partition sums the counts and joins them back to the blocks that hold the n-grams. The block
 then scores every word of its documents and sums up each document's.
 
 A document's own occurrences don't count for it: the count of an n-gram is that in all other rows. A word scores
@@ -152,10 +153,10 @@ def _score(order: int, alpha: float, key: pa.DataType):
 
 
 def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_words, log_score`` (sum of the words' natural logs), ``per_word`` (their mean) for each row.
+    """``doc_id, n_words, score`` (mean of the words' natural logs), ``log_total`` (their sum) for each row.
 
     Words are parted by ASCII white space. Null and empty texts have no words and score 0; repeated rows are documents of
-    their own, so each counts for the others. An empty table gives an empty one.
+    their own, so each counts for the others. A text longer than a block is one of its own. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "backoff")
@@ -171,7 +172,7 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block: int
     total = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 0
     rest = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1)).cast("double")
     log = F.col("logs") - F.col("plain") * F.log(rest)
-    return scored.select("doc_id", "n_words", log.alias("log_score"), F.when(F.col("n_words") > 0, log / F.col("n_words")).otherwise(0.0).alias("per_word"))
+    return scored.select("doc_id", "n_words", F.when(F.col("n_words") > 0, log / F.col("n_words")).otherwise(0.0).alias("score"), log.alias("log_total"))
 
 
 def _arrow(kind) -> pa.DataType:
