@@ -114,7 +114,7 @@ def telling(threshold: float = THRESHOLD) -> list[str]:
 
 
 def as_files(docs: DataFrame) -> DataFrame:
-    """``doc_id, path, text``: documents as files of a tree by source, language and id, for tables without paths.
+    """``doc_id, path, text``: documents as files of a tree by source, language and id (a number), for tables without paths.
 
     A thousand ids share a directory and a hundred a subdirectory of it. Ids that are multiples of a thousand are the
     LICENSE file of the first, other multiples of a hundred that of the second.

@@ -15,43 +15,53 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, laid out as a tree of files; the columns of ``licences.scan``. Null texts have none."""
     return licences.scan(licences.as_files(read(spark, sf_dir, "documents")), "doc_id")
 
 
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edited texts; the columns of ``sketch.compare_edited``."""
     return sketch.compare_edited(read(spark, sf_dir, "documents"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; the columns of ``simhash.near_duplicates``."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and class of every document by a machine that learns from labelled rows not held out; the columns of ``quality.classify``."""
     docs = read(spark, sf_dir, "documents")
     return quality.classify(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
 def op5_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens; the columns of ``packing.pack_documents``."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an archive of all pages gives back; the columns of ``warc.resolve_read``."""
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under the n-grams of all others; the columns of ``backoff.scores``."""
     return backoff.scores(read(spark, sf_dir, "documents"))
 
 
 def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector among all; the columns of ``neighbours.search``."""
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document, and a digest of those kept; the columns of ``repeats.digests``."""
     return repeats.digests(repeats.remove(read(spark, sf_dir, "documents")))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to; the columns of ``tokens.round_trip``."""
     return tokens.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
 
 

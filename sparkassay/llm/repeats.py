@@ -38,7 +38,7 @@ WINDOW = 50
 PHRASE = 26
 #: Segments that a shard holds at once.
 SLICE = 1024
-#: Documents whose segments around one anchor meet in one shard, about.
+#: Documents whose segments around one anchor meet in one shard, about: the most that a shard holds of a hot one.
 SHARD = 1024
 _LAST = (1 << 63) - 1
 
@@ -277,7 +277,7 @@ def remove(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, keep: tu
     """``doc_id, text, n_words, n_removed`` and the columns named in ``keep``: what is left of each text.
 
     What stands between kept words stays as it is, line breaks included. One row for each row of
-    ``docs``. Null and empty texts have no words. Rows that share an id don't take words from each other; a null id
+    ``docs``, whose ids are numbers. Null and empty texts have no words. Rows that share an id don't take words from each other; a null id
     counts as larger than all others. Only the named columns of ``docs`` are read.
     """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

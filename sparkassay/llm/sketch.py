@@ -103,7 +103,7 @@ def compare_edited(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE)
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, held_by_edited`` (the last:
     the estimated share of the text's shingles that the edited text holds). Rows are dealt into
     ranges of ids and streamed in order; each range also gets the first row of the next one, so no row needs the whole
-    order. Null ids come last, repeated ids in the order of their texts; a single row is its own next. Null texts are empty.
+    order. Ids are numbers. Null ids come last, repeated ids in the order of their texts; a single row is its own next. Null texts are empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
