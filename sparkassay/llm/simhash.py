@@ -3,10 +3,11 @@
 Equal fingerprints are one class. Classes meet in buckets: of ``segments`` parts of a fingerprint, two that differ in at
 most ``radius`` bits have at least ``segments - radius`` in common, so each combination of that many parts is a key and
 no link is lost. A bucket with more than ``bucket`` classes isn't compared: its members go on to finer keys over the bits
-the key has left open, again and again; with so few bits open, the last ones are small by construction. Within a bucket
-each class has its Hamming distances to many reference fingerprints (the pivots). Distances to a pivot differ by no more
-than the distance of the two, so a pair with any coordinate further apart than ``radius`` is discarded; what is left is
-verified on the fingerprints. A bucket gives the edges of a spanning forest only, never all its pairs.
+the key has left open, again and again; with so few bits open, the last ones are small by construction. The pivot
+distance table holds each class's Hamming distances to many reference fingerprints, taken once and kept with the class.
+Distances to a pivot differ by no more than the distance of the two, so in a bucket a pair with any coordinate further
+apart than ``radius`` is discarded; what is left is verified on the fingerprints. A bucket gives the edges of a spanning
+forest only, never all its pairs.
 """
 
 from __future__ import annotations
@@ -68,15 +69,28 @@ def _masks(open_bits: list[int], radius: int) -> list[int]:
     return [sum(x) for x in itertools.combinations(parts, n - radius)] if n > radius else []
 
 
-def _local_edges(fps: np.ndarray, radius: int, refs: np.ndarray) -> tuple[list[int], list[int]]:
+def distances(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """The pivot distance table: a row for each fingerprint, a byte for each reference."""
+    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.uint8)
+
+
+def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with their row of the pivot distance table."""
+    refs = pivots()
+    for batch in batches:
+        table = distances(batch.column(0).to_numpy().view(np.uint64), refs)
+        yield pa.record_batch([batch.column(0), pa.array([row.tobytes() for row in table], pa.binary())], names=["fp", "pivots"])
+
+
+def _local_edges(fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the links within one bucket."""
     n = len(fps)
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)  # the pivot distance table
+    table = table.astype(np.int8)
     root = np.arange(n)
     us, vs = [], []
     for i in range(n - 1):
         near = np.flatnonzero(np.abs(table[i + 1 :, 0] - table[i, 0]) <= radius) + i + 1
-        for k in range(1, len(refs)):
+        for k in range(1, table.shape[1]):
             if not len(near):
                 break
             near = near[np.abs(table[near, k] - table[i, k]) <= radius]
@@ -91,38 +105,40 @@ def _local_edges(fps: np.ndarray, radius: int, refs: np.ndarray) -> tuple[list[i
 
 def _compare(radius: int, bucket: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows ``key, mask, fp`` sorted by mask and key: links of the buckets that fit, members of those that don't."""
-        refs = pivots()
-        names = ["u", "v", "mask"]
-        held: list[np.ndarray] = []
+        """Rows ``mask, key, fp, pivots`` sorted by mask and key: links of the buckets that fit, members of those that don't."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         key, size, over = None, 0, False
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, int, np.ndarray | None]] = []
 
         def flush():
             nonlocal held, size
-            fps = np.concatenate(held) if held else np.empty(0, np.uint64)
+            if held:
+                fps, table = (np.concatenate(x) for x in zip(*held, strict=True))
+                if over:
+                    out.append((fps, fps, key[0], table))
+                elif len(fps) > 1:
+                    u, v = _local_edges(fps, table, radius)
+                    out.append((fps[u], fps[v], 0, None))
             held, size = [], 0
-            if over:
-                out.append((fps, fps, np.full(len(fps), key[0], np.int64)))
-            elif len(fps) > 1:
-                u, v = _local_edges(fps, radius, refs)
-                out.append((fps[u], fps[v], np.zeros(len(u), np.int64)))
 
         def batch_of():
             nonlocal out
-            u, v, m = (np.concatenate(x) for x in zip(*out, strict=True))
-            out = []
-            return pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(m)], names=names)
+            rows, out = out, []
+            u, v = (np.concatenate([x[c] for x in rows]).view(np.int64) for c in (0, 1))
+            masks = np.concatenate([np.full(len(x[0]), x[2], np.int64) for x in rows])
+            tables = [b for x in rows for b in ([None] * len(x[0]) if x[3] is None else [row.tobytes() for row in x[3]])]
+            return pa.record_batch([pa.array(u), pa.array(v), pa.array(masks), pa.array(tables, pa.binary())], names=["u", "v", "mask", "pivots"])
 
         for batch in batches:
             masks, keys, fps = (batch.column(i).to_numpy() for i in range(3))
             fps = fps.view(np.uint64)
+            table = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(fps), -1)
             cut = np.flatnonzero((masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])) + 1
             for a, b in zip([0, *cut], [*cut, len(fps)], strict=True):
                 if key != (masks[a], keys[a]):
                     flush()
                     key, over = (masks[a], keys[a]), False
-                held.append(fps[a:b])
+                held.append((fps[a:b], table[a:b]))
                 size += b - a
                 if size > bucket:
                     over = True
@@ -139,26 +155,27 @@ def _compare(radius: int, bucket: int):
 def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Edges ``u, v`` that connect just the distinct fingerprints ``fp`` that differ in at most ``radius`` bits, by paths."""
     spark = classes.sparkSession
-    todo, found, level = classes.select("fp", F.lit(0).cast("long").alias("mask")), [], 0
+    table = scratch.table(classes.select("fp").mapInArrow(_table_rows, "fp long, pivots binary"), "pivots")
+    todo, found, level = table.withColumn("mask", F.lit(0).cast("long")), [], 0
     masks = {0: _masks(list(range(64)), radius)}
     while True:
         rows = [(old, new) for old, news in masks.items() for new in news]
         keyed = todo.join(F.broadcast(spark.createDataFrame([(o, _signed(o | n)) for o, n in rows], "mask long, next long")), "mask")
-        keyed = keyed.select(F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"), "fp")
+        keyed = keyed.select(F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("key"), "fp", "pivots")
         if level:
             keyed = keyed.distinct()
         # Buckets of one need no visit.
         busy = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
         keyed = keyed.join(busy, ["mask", "key"], "left_semi")
         limit = bucket if level < 3 else 1 << 62  # by then at most some hundred fingerprints share a key
-        dealt = keyed.repartition(width(spark), "mask", "key").sortWithinPartitions("mask", "key").select("mask", "key", "fp")
-        done = scratch.table(dealt.mapInArrow(_compare(radius, limit), "u long, v long, mask long"), f"level{level}")
+        dealt = keyed.repartition(width(spark), "mask", "key").sortWithinPartitions("mask", "key").select("mask", "key", "fp", "pivots")
+        done = scratch.table(dealt.mapInArrow(_compare(radius, limit), "u long, v long, mask long, pivots binary"), f"level{level}")
         found.append(done.filter("mask = 0").select("u", "v"))
         over = [r["mask"] for r in done.filter("mask <> 0").select("mask").distinct().collect()]  # at most as many as there are masks
         if not over:
             break
         masks = {m: _masks([b for b in range(64) if not m >> b & 1], radius) for m in over}
-        todo = done.filter("mask <> 0").select(F.col("u").alias("fp"), "mask")
+        todo = done.filter("mask <> 0").select(F.col("u").alias("fp"), "pivots", "mask")
         level += 1
     out = found[0]
     for x in found[1:]:
