@@ -110,18 +110,20 @@ def pack(cut: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` from 1 to ``window``.
 
     Every piece is placed, repeated rows and ties included (they count as pieces of their own). A sequence's pieces lie
-    gapless from offset 0; no sequence exceeds the window. An empty table gives an empty one.
+    gapless from offset 0; no sequence exceeds the window. Sequences are numbered from 0, those of one whole window each
+    above the others and with gaps between tasks. An empty table gives an empty one.
     """
     salts = max(64, width(cut.sparkSession))
-    cut = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
-    groups = scratch.table(cut.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "groups")
+    rest = cut.filter(F.col("length") < window).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    groups = scratch.table(rest.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "groups")
     sizes = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `window` rows
-    places = cut.sparkSession.sparkContext.broadcast(_places(plan(sizes, window)))
+    patterns = plan(sizes, window)
+    places = cut.sparkSession.sparkContext.broadcast(_places(patterns))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = groups.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = cut.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
-    kept = [c for c in cut.columns if c != "_salt"]
+    ranked = rest.withColumn("_rank", F.row_number().over(within) - 1).join(first, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    kept = cut.columns
     ranked = ranked.select(*kept, "_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,11 @@ def pack(cut: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in kept)
-    return ranked.mapInArrow(run, f"{names}, sequence_id long, offset long")
+    packed = ranked.mapInArrow(run, f"{names}, sequence_id long, offset long")
+    # A whole window is a sequence of its own: no rank, no shuffle.
+    used = sum(times for _, times in patterns)
+    whole = cut.filter(F.col("length") == window).select(*kept, (F.monotonically_increasing_id() + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(whole)
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
