@@ -11,16 +11,18 @@ from sparkassay.llm.common import Scratch
 def _stars(edges: DataFrame, scratch: Scratch, name: str, small: bool) -> DataFrame:
     """One contraction: each node's larger neighbours (small: its smaller ones and itself) get joined to its least neighbour.
 
-    The least neighbour is a partial aggregate; the join back to the edges is a plain equi-join that Spark splits where one node is hot.
+    The least neighbour is a partial aggregate. It is joined back to the edges on a key that it isn't aggregated by, so that
+    both sides are shuffled for the join and Spark can split a node with many neighbours.
     """
+    key = F.col("u").bitwiseXOR(F.lit(1)).alias("k")
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if small:  # from the larger node u to its smaller neighbours v
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(key, "m")
+        joined = both.select("*", key).join(least.hint("merge"), "k")
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(joined.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(key, "m")
+        out = both.filter("v > u").select("*", key).join(least.hint("merge"), "k").select(F.col("v").alias("a"), F.col("m").alias("b"))
     out = out.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     return scratch.table(out, name)
 
