@@ -39,7 +39,7 @@ PHRASE = 26
 #: Segments that a shard holds at once.
 SLICE = 1024
 #: Documents whose segments around one anchor meet in one shard, about: the most that a shard holds of a hot one.
-SHARD = 1024
+SHARD = 512
 _LAST = (1 << 63) - 1
 
 
