@@ -39,6 +39,8 @@ PIVOTS = 16
 CELL = 256
 #: Bytes of a shingle's hash that a set holds.
 BYTES = 5
+#: Texts whose sets are held at once.
+TEXTS = 512
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _LANE = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1) for k in range(LANES)]
 _NAMES = [f"f{k}" for k in range(LANES)]
@@ -87,7 +89,7 @@ def _fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             fps, keys, nodes, sizes, sets = [np.empty((0, LANES), np.uint64)], [], [], [], []
             for x in batch.column(2):
                 words = word_hashes(x.as_py().encode())
