@@ -106,8 +106,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             picked = order[at : at + 64]
-            index = np.concatenate([rows[i][0] for i in picked])
-            value = np.concatenate([rows[i][1] for i in picked])
+            index = np.concatenate([rows[i][0] for i in picked]).astype(np.int64)
+            value = np.concatenate([rows[i][1] for i in picked]).astype(np.float64)
             cuts = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in picked])[:-1]])
             v = vectors[index] * value[:, None]
             total = np.add.reduceat(v, cuts)
@@ -151,8 +151,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     one = Window.partitionBy("n").orderBy(F.xxhash64("text"), "text")
     sample = sample.withColumn("at", F.row_number().over(one)).filter("at = 1").select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text")
-    rows = sample.mapInArrow(run, "doc_id string, y double, i array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
-    return fit([(np.array(i, np.int64), np.array(v, np.float64)) for i, v in zip(rows["i"].to_numpy(), rows["v"].to_numpy(), strict=True)], rows["y"].to_numpy())
+    rows = sample.mapInArrow(run, "doc_id string, y double, i array<int>, v array<float>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    if not rows.num_rows:
+        return fit([], np.empty(0))
+    # Views into the table's buffers: the driver holds the sample's features once.
+    parts = [[(x := rows[c].chunk(0)).flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()] for c in ("i", "v")]
+    views = [[values[a:b] for a, b in zip(ends, ends[1:], strict=False)] for values, ends in parts]
+    return fit(list(zip(*views, strict=True)), rows["y"].to_numpy())
 
 
 def classify(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -164,13 +169,14 @@ def classify(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, ke
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = ["doc_id", "held_out", "score", *keep]
+    text = "text" if "text" in keep else "_text"  # sent once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            scores = pa.array([machine.score(x.as_py()) for x in batch.column("_text")], pa.float64())
+            scores = pa.array([machine.score(x.as_py() or "") for x in batch.column(text)], pa.float64())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), scores, *(batch.column(c) for c in keep)], names=names)
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("_text"), *keep)
+    rows = docs.select("doc_id", held_out().alias("held_out"), *([] if text in keep else [text_of().alias(text)]), *keep)
     scored = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, held_out boolean, score double" + "".join(f", `{c}` {kinds[c]}" for c in keep))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keep)
