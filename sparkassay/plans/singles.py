@@ -301,9 +301,9 @@ def _(spark, sf):
     return PL.select_cells(o, ("F", "O"), ("1-URGENT",)).select("o_orderkey")
 
 
-@query("flt_18_non_members", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("flt_18_non_members", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def _(spark, sf):
-    return PL.non_members(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
+    return PL.non_members(table(spark, sf, "customer"), table(spark, sf, "orders").filter("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey")
 
 
 _PREFERENCES = """SELECT o_orderkey AS task_id, 'c' || o_custkey AS chosen_id, CASE WHEN o_custkey % 6 = 0 THEN ' ' ELSE repeat('w ', CAST(o_custkey % 9 AS INT)) || 'x' END AS rejected, o_orderstatus AS source FROM orders"""
