@@ -40,6 +40,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(where).isDirectory()
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths of what a folder holds; none if it isn't there."""
+    fs, where = _fs(spark, path)
+    return [str(x.getPath()) for x in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     """The first of the paths that is there; raises if none is."""
     paths = list(paths)

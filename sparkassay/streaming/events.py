@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.sources.files import is_folder
+from sparkassay.sources.files import children, is_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -52,7 +52,12 @@ def append_to(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFra
 
 
 def drain(df: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream to its present end and returns the result table (for reports: it is held in memory)."""
+    """Runs a stream to its present end and returns the result table: appended rows are read from files beside the state, a complete result is held in memory."""
+    spark = df.sparkSession
+    if mode == "append":
+        append_to(df, f"{checkpoint}-rows", checkpoint).awaitTermination()
+        batches = children(spark, f"{checkpoint}-rows")
+        return spark.read.schema(df.schema).parquet(*batches) if batches else spark.createDataFrame([], df.schema)
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.table(name)
