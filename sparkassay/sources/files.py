@@ -46,6 +46,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [str(x.getPath()) for x in fs.listStatus(where)] if fs.exists(where) else []
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     """The first of the paths that is there; raises if none is."""
     paths = list(paths)

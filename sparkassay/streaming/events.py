@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkassay.sources.files import children, is_folder
+from sparkassay.sources.files import children, drop, is_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -42,22 +42,23 @@ def distinct_events(df: DataFrame, key: str = "event_id", late: str = "1 hour")
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], DataFrame] | None = None):
-    """Runs the stream over what is there, appending micro-batches as Parquet; a restarted batch replaces its own folder."""
+def append_to(df: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append", name: str | None = None):
+    """Runs the stream over what is there, appending micro-batches as Parquet; a restarted batch replaces its own folder. In complete mode a batch replaces those before it."""
 
     def write(batch: DataFrame, n: int) -> None:
         (each(batch, n) if each else batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if mode == "complete":
+            for old in children(batch.sparkSession, path):
+                if not old.endswith(f"/batch={n}"):
+                    drop(batch.sparkSession, old)
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
 
 
 def drain(df: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream to its present end and returns the result table: appended rows are read from files beside the state, a complete result is held in memory."""
-    spark = df.sparkSession
-    if mode == "append":
-        append_to(df, f"{checkpoint}-rows", checkpoint).awaitTermination()
-        batches = children(spark, f"{checkpoint}-rows")
-        return spark.read.schema(df.schema).parquet(*batches) if batches else spark.createDataFrame([], df.schema)
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a stream to its present end and returns the result table, which is read from files beside the state."""
+    spark, rows = df.sparkSession, f"{checkpoint}-rows"
+    append_to(df, rows, checkpoint, mode=mode, name=name).awaitTermination()
+    batches = children(spark, rows)
+    return spark.read.schema(df.schema).parquet(*batches) if batches else spark.createDataFrame([], df.schema)

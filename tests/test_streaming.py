@@ -31,3 +31,19 @@ def test_a_stream_without_files_appends_nothing(spark, tmp_path):
     schema = spark.createDataFrame([], _SCHEMA).schema
     out = EV.drain(EV.distinct_events(EV.read_stream(spark, str(tmp_path / "none"), schema)), str(tmp_path / "state"), "nothing", "append")
     assert out.count() == 0 and out.columns == schema.names
+
+
+def test_a_complete_result_is_that_of_the_last_batch_in_files(spark, folder, tmp_path):
+    ev = EV.read_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1)
+    out = EV.drain(EV.sessions(ev, gap="5 minutes", late="2 hours"), str(tmp_path / "state"), "complete")
+    expected = EV.sessions(spark.read.parquet(folder), gap="5 minutes").collect()
+    assert sorted(out.collect()) == sorted(expected) and sum(r.n for r in expected) == 38
+    assert out.columns == ["session_start", "user_id", "n", "total"]
+    assert out.inputFiles(), "the result was held by the driver"
+    assert len(list((tmp_path / "state-rows").iterdir())) == 1
+
+
+def test_a_stream_without_files_has_an_empty_result(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    ev = EV.read_stream(spark, str(tmp_path / "none"), spark.createDataFrame([], _SCHEMA).schema)
+    assert EV.drain(EV.sessions(ev, late="2 hours"), str(tmp_path / "state"), "empty").count() == 0
